@@ -51,26 +51,38 @@ def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
     return coerce_log(spark.read.csv(path, header=True))
 
 
-def _part(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _part(
+    spark: SparkSession, path: str, schema: str, before: int | None, only: int | None
+) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if only is not None:
+        rows = rows.where(F.col("batch") == only)
+    return rows.drop("batch")
 
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """The prediction log.
+def read_log(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The prediction log, optionally as it stood before a batch.
 
-    Predictions and their outcomes are two append-only tables; a prediction is
-    never rewritten, and the first stored outcome of a key stands.
+    Predictions and their outcomes are two append-only tables; a stored row is
+    never rewritten.
     """
     root = root.rstrip("/")
-    made = _part(spark, f"{root}/predictions", PREDICTIONS)
-    scored = _part(spark, f"{root}/outcomes", OUTCOMES)
+    made = _part(spark, f"{root}/predictions", PREDICTIONS, before, None)
+    scored = _part(spark, f"{root}/outcomes", OUTCOMES, before, None)
     return made.join(scored, list(LOG_KEY), "left").select(
         *[p.split(" ")[0] for p in LOG_SCHEMA.split(", ")]
     )
 
 
+def batch_predictions(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """What one batch predicted."""
+    return _part(spark, f"{root.rstrip('/')}/predictions", PREDICTIONS, None, batch)
+
+
 def append_predictions(rows: DataFrame, root: str, batch: int) -> None:
     _append(rows, PREDICTIONS, f"{root.rstrip('/')}/predictions/batch={batch}")
 

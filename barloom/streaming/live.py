@@ -16,7 +16,13 @@ from barloom.operators.features import build_features
 from barloom.operators.models import load_model, predict
 from barloom.operators.signals import signal_of
 from barloom.operators.target import realised_returns
-from barloom.sources.logs import LOG_KEY, append_outcomes, append_predictions, read_log
+from barloom.sources.logs import (
+    LOG_KEY,
+    append_outcomes,
+    append_predictions,
+    batch_predictions,
+    read_log,
+)
 
 MARKET_TZ = "America/New_York"
 CLOSE_HOUR = 16
@@ -202,21 +208,22 @@ def run_daily(
 ) -> DataFrame:
     """Score what can be scored, then predict what is new and final.
 
-    Safe to repeat: a batch overwrites its own files, outcomes are looked up
-    before predictions are made, and a key already in the log is skipped.
+    Safe to repeat: a batch reads the log as it stood before it and overwrites
+    only its own files; outcomes are looked up before predictions are made, and
+    a key already in the log is skipped.
     Returns the per-symbol status of the run.
     """
     cleaned = clean(raw)
-    append_outcomes(outcomes(read_log(spark, log_root), cleaned), log_root, batch)
+    log = read_log(spark, log_root, before=batch)
+    append_outcomes(outcomes(log, cleaned), log_root, batch)
 
-    log = read_log(spark, log_root)
     made = predict_latest(cleaned, load_model(model_folder), spec, now)
     fresh = unlogged(made, log).where(bar_is_final("bar_date", now) & ~F.col("refused"))
     append_predictions(fresh, log_root, batch)
 
-    after = read_log(spark, log_root).where(F.col("logged_at") == F.lit(now).cast("timestamp"))
-    ours = after.select(*LOG_KEY, F.lit(True).alias("__new"))
-    before = log.select(*LOG_KEY, F.lit(True).alias("__old"))
+    ours = batch_predictions(spark, log_root, batch)
+    marks = ours.select(*LOG_KEY, F.lit(True).alias("__new"))
+    earlier = log.select(*LOG_KEY, F.lit(True).alias("__old"))
     status = (
         F.when(F.col("__new"), "predicted")
         .when(F.col("__old"), "no_new_bar")
@@ -224,7 +231,7 @@ def run_daily(
         .when(F.col("refused"), "refused")
     )
     return (
-        made.join(ours, list(LOG_KEY), "left")
-        .join(before, list(LOG_KEY), "left")
+        made.join(marks, list(LOG_KEY), "left")
+        .join(earlier, list(LOG_KEY), "left")
         .select("symbol", "bar_date", "model", status.alias("status"), "prediction", "signal")
     )
