@@ -323,15 +323,15 @@ _SPLIT_DAY = "1998-01-01"
         f"""{sql.trade_bars()},
 factored AS (
   SELECT *, CASE WHEN date < DATE '{_SPLIT_DAY}' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS f FROM bars)""",
-        f"""SELECT symbol, date, {rounded('open * f', 'open')}, {rounded('high * f', 'high')},
-  {rounded('low * f', 'low')}, {rounded('close * f', 'close')},
-  {rounded('close * f', 'adj_close')}, {num('volume')} FROM factored""",
+        f"""SELECT symbol, date, {rounded('open * f', 'open', 8)}, {rounded('high * f', 'high', 8)},
+  {rounded('low * f', 'low', 8)}, {rounded('close * f', 'close', 8)},
+  {rounded('close * f', 'adj_close', 8)}, {num('volume')} FROM factored""",
     ),
 )
 def adjust_ohlc(spark, sf):
     factor = F.when(F.col("date") < F.lit(_SPLIT_DAY).cast("date"), 0.25).otherwise(1.0)
     bars = inputs.trade_bars(spark, sf).withColumn("adj_close", F.col("close") * factor)
-    return tidy(cleaning.adjust_ohlc(bars))
+    return tidy(cleaning.adjust_ohlc(bars), 8)
 
 
 # --------------------------------------------------------------- features
@@ -1581,13 +1581,13 @@ def cumulative_return(spark, sf):
     with_sql(
         _MOVES,
         "SELECT symbol, date, "
-        + ", ".join(rounded(sql.roll("avg", "close", n), f"sma_{n}") for n in (20, 50, 200))
+        + ", ".join(rounded(sql.roll("avg", "close", n), f"sma_{n}", 9) for n in (20, 50, 200))
         + " FROM moves",
     ),
 )
 def price_averages(spark, sf):
     out = eda.price_with_averages(inputs.trade_bars(spark, sf))
-    return tidy(out.select("symbol", "date", "sma_20", "sma_50", "sma_200"))
+    return tidy(out.select("symbol", "date", "sma_20", "sma_50", "sma_200"), 9)
 
 
 @query(

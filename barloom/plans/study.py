@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
 from barloom.functions.durable import checkpointed
+from barloom.functions.session import tune
 from barloom.operators import stress
 from barloom.operators.backtest import entered, run_backtest, trade_log
 from barloom.operators.cleaning import clean, cleaning_log, mark_cleaning
@@ -34,18 +35,19 @@ from barloom.operators.report import correlation_headline, report_sections, verd
 from barloom.operators.signals import generate_signals
 from barloom.operators.target import build_dataset, realised_returns, split_summary
 from barloom.operators.walkforward import (
+    fold_bounds,
     fold_table,
     make_folds,
     stability,
     walk_forward,
     with_date_folds,
-    fold_bounds,
 )
 from barloom.sources.raw_bars import describe
 
 
 def fetch(raw: DataFrame) -> dict[str, DataFrame]:
     """Validation report, cleaned bars, cleaning log and headline statistics."""
+    tune(raw.sparkSession)
     marked = mark_cleaning(raw)
     cleaned = clean(raw)
     return {
@@ -62,6 +64,7 @@ def prepare(cleaned: DataFrame, spec: StudySpec, durable: bool = True) -> DataFr
     Fits and sweeps read it many times, so it is written to the checkpoint
     folder once instead of being recomputed for each.
     """
+    tune(cleaned.sparkSession)
     data = build_dataset(cleaned, spec)
     return checkpointed(data) if durable else data
 
@@ -117,9 +120,8 @@ def backtest(
 def model_metrics(
     predictions: DataFrame, spec: StudySpec, keys: Sequence[str] = ("symbol", "split")
 ) -> DataFrame:
-    return evaluate(predictions, spec.kind, keys=keys, probability=(
-        "probability" if "probability" in predictions.columns else None
-    )) if spec.kind == "classification" else evaluate(predictions, keys=keys)
+    score = "probability" if "probability" in predictions.columns else None
+    return evaluate(predictions, spec.kind, keys=keys, probability=score)
 
 
 def compare_models(
