@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureSpec
 from barloom.functions.columns import TRADING_DAYS, ratio
+from barloom.functions.session import tune
 from barloom.functions.windows import KEYS, Smooth, by_date, roll, running, smooth
 from barloom.operators.cleaning import adjust_ohlc
 from barloom.operators.indicators import (
@@ -89,6 +90,7 @@ def build_features(
     window except the block sums of the smoothers shares one specification;
     the plan has a single exchange on ``keys``.
     """
+    tune(bars.sparkSession)
     w = by_date(*keys)
     close, volume = F.col("close"), F.col("volume")
     prev = F.lag("close").over(w)
