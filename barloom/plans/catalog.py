@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_date, roll
+from barloom.functions.durable import ensure_checkpoint_dir
+from barloom.functions.windows import by_date
 from barloom.operators import (
     backtest as bt,
 )
@@ -38,7 +40,7 @@ from barloom.plans import oracle_parts as sql
 from barloom.plans.inputs import SPEC
 from barloom.plans.oracle_parts import num, rounded, with_sql
 from barloom.sources import panel_store, raw_bars
-from barloom.streaming import live
+from barloom.streaming import ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +202,30 @@ def merge_newest(spark, sf):
     return tidy(merged.select("symbol", "date", "adj_close", "close"))
 
 
+@query(
+    "incremental_store",
+    with_sql(
+        sql.trade_bars(),
+        f"""SELECT symbol, date, {rounded("adj_close * CASE WHEN symbol = 'N' THEN 0.95::DOUBLE "
+            "ELSE 1.0::DOUBLE END", 'adj_close', 8)}, {num('close', 'volume')} FROM bars""",
+    ),
+)
+def incremental_store(spark, sf):
+    """Store a history, merge an increment that restates one symbol, read it back."""
+    bars = inputs.trade_bars(spark, sf)
+    stored, fresh = _increment(spark, sf)
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    panel_store.write_batch(stored, root, 0)
+
+    def full_history(symbols):
+        rebased = bars.withColumn("adj_close", F.col("adj_close") * 0.95)
+        return rebased.join(symbols, "symbol", "left_semi")
+
+    ingest.merge_increment(spark, fresh, root, 1, full_history)
+    out = panel_store.read_panel(spark, root)
+    return tidy(out.select("symbol", "date", "adj_close", "close", "volume"), 8)
+
+
 # ---------------------------------------------------------------- quality
 
 _FINDINGS = f"""{sql.raw_bars()},
@@ -864,6 +890,25 @@ def benchmark_comparison(spark, sf):
     return tidy(metrics.compare_to_benchmark(_result(spark, sf)))
 
 
+@query(
+    "summary_table",
+    with_sql(
+        _COMPARISON,
+        "SELECT symbol, series, "
+        + ", ".join(rounded(f"CAST({m} AS DOUBLE)", m) for m in (*sql.METRICS, "exposure"))
+        + " FROM perf",
+    ),
+)
+def summary_table(spark, sf):
+    both = metrics.performance(
+        _result(spark, sf),
+        {"strategy": "strategy_return", "buy_and_hold": "asset_return"},
+        positions={"strategy": "position"},
+    )
+    tall = metrics.long_form(both, ["symbol", "series"])
+    return tidy(metrics.summary_table(tall, "series", ["symbol"]))
+
+
 @query(
     "drawdown_series",
     with_sql(
@@ -1145,7 +1190,7 @@ edges AS (
   SELECT symbol, n, CAST(fold AS INTEGER) AS fold,
     CAST(trunc((fold - 1) * ((n - 500) / 5.0) + 500) AS INTEGER) AS lo,
     CASE WHEN fold = 5 THEN n ELSE CAST(trunc(fold * ((n - 500) / 5.0) + 500) AS INTEGER) END AS hi
-  FROM (SELECT DISTINCT symbol, n FROM spaced), range(1, 6) f(fold)),
+  FROM (SELECT DISTINCT symbol, n FROM spaced WHERE n - 500 >= 5), range(1, 6) f(fold)),
 folds AS (
   SELECT e.symbol, e.fold,
     min(date) FILTER (pos >= {oldest} AND pos < lo) AS train_start,
@@ -1200,6 +1245,21 @@ def eval_regression(spark, sf):
     return tidy(evaluate.regression_metrics(_scored(spark, sf), keys=_PAIR))
 
 
+@query(
+    "eval_metrics_frame",
+    with_sql(
+        _REG,
+        " UNION ALL ".join(
+            f"SELECT symbol, split, '{m}' AS metric, {rounded(f'CAST({m} AS DOUBLE)', 'value')} FROM reg"
+            for m in ("n", *sql.REG_NUMBERS)
+        ),
+    ),
+)
+def eval_metrics_frame(spark, sf):
+    scored = evaluate.regression_metrics(_scored(spark, sf), keys=_PAIR)
+    return tidy(evaluate.metrics_frame(scored, _PAIR))
+
+
 @query(
     "eval_sanity_flags",
     with_sql(
@@ -1341,6 +1401,12 @@ def model_compare(spark, sf):
     return study.compare_models(data, SPEC, ("linear", "ridge", "random_forest"))
 
 
+@query("best_models")
+def best_models(spark, sf):
+    data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
+    return eda.best_models(study.compare_models(data, SPEC, ("linear", "ridge")))
+
+
 @query("walk_forward")
 def walk_forward(spark, sf):
     out, _ = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
@@ -1354,6 +1420,13 @@ def walk_forward_stability(spark, sf):
     return walkforward.stability(walkforward.fold_table(out, walkforward.make_folds(data)))
 
 
+@query("walk_forward_spread")
+def walk_forward_spread(spark, sf):
+    data = _dataset(spark, sf)
+    out, _ = walkforward.walk_forward(data, FEATURES, "ridge")
+    return eda.fold_spread(walkforward.fold_table(out, walkforward.make_folds(data)))
+
+
 @query("walk_forward_importance")
 def walk_forward_importance(spark, sf):
     _, importance = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
