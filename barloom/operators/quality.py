@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import TRADING_DAYS, is_infinite
-from barloom.functions.windows import by_date, first_n, previous_in_arrival
+from barloom.functions.windows import by_date, previous_in_arrival
 from barloom.operators.cleaning import (
     FIELDS,
     PRICES,
@@ -53,7 +53,7 @@ def _is_extreme(limit: float) -> Column:
 
 
 def _row_findings(raw: DataFrame, extreme_return: float, seq: str) -> DataFrame:
-    ordered = previous_in_arrival(raw, ["adj_close"], seq=seq)
+    ordered = previous_in_arrival(raw, ["adj_close", "date"], seq=seq)
     checks = {
         "missing_values": any_of([F.col(c).isNull() for c in FIELDS]),
         "infinite_values": any_of([is_infinite(c) for c in FIELDS]),
@@ -63,6 +63,7 @@ def _row_findings(raw: DataFrame, extreme_return: float, seq: str) -> DataFrame:
         "ohlc_inconsistent": body_outside_range(),
         "zero_volume": F.col("volume") == 0,
         "extreme_returns": _is_extreme(extreme_return),
+        "date_ordering": F.col("date") < F.col("prev_date"),
     }
     fired = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))
     return ordered.select(
@@ -74,20 +75,6 @@ def _row_findings(raw: DataFrame, extreme_return: float, seq: str) -> DataFrame:
     )
 
 
-def _order_findings(raw: DataFrame, seq: str) -> DataFrame:
-    """One finding per symbol whose dates ever step back in arrival order."""
-    back = previous_in_arrival(raw, ["date"], seq=seq).where(
-        F.col("date") < F.col("prev_date")
-    )
-    return back.select("symbol").distinct().select(
-        "symbol",
-        F.lit("date_ordering").alias("check"),
-        F.lit(None).cast("date").alias("date"),
-        F.lit(1).cast("bigint").alias("weight"),
-        F.lit(None).cast("int").alias("tolerance"),
-    )
-
-
 def weekdays_between(first: Column, last: Column) -> Column:
     """Number of Monday-to-Friday dates in [first, last]."""
     days = F.datediff(last, first) + 1
@@ -167,7 +154,6 @@ def validate(
     )
     findings = (
         _row_findings(raw, extreme_return, seq)
-        .unionByName(_order_findings(raw, seq))
         .unionByName(doubled)
         .unionByName(gaps)
     )
@@ -183,30 +169,42 @@ def validate(
             )
         )
 
-    counts = findings.groupBy("symbol", "check").agg(
-        F.sum("weight").alias("count"), F.max("tolerance").alias("tolerance")
+    # One row per date first: it combines before the shuffle and leaves a
+    # symbol with no more rows per check than the calendar has days.
+    daily = findings.groupBy("symbol", "check", "date").agg(
+        F.sum("weight").alias("weight"),
+        F.count(F.lit(1)).alias("times"),
+        F.max("tolerance").alias("tolerance"),
     )
-    examples = (
-        first_n(
-            findings.where(F.col("date").isNotNull()).select("symbol", "check", "date"),
-            EXAMPLES,
-            ["symbol", "check"],
-            "date",
-        )
-        .groupBy("symbol", "check")
-        .agg(F.array_sort(F.collect_list("date")).alias("example_dates"))
+    place = F.row_number().over(Window.partitionBy("symbol", "check").orderBy("date"))
+    shown = F.when(
+        (F.col("place") <= EXAMPLES) & F.col("date").isNotNull(),
+        F.array_repeat("date", F.least("times", F.lit(EXAMPLES)).cast("int")),
     )
+    unordered = F.col("check") == "date_ordering"
     by_name = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     severity = F.when(
         F.col("check") == "calendar_gaps",
-        F.when(F.col("count") > F.col("tolerance"), "warning").otherwise("info"),
+        F.when(F.col("weight") > F.col("tolerance"), "warning").otherwise("info"),
     ).otherwise(by_name[F.col("check")])
-    return counts.join(examples, ["symbol", "check"], "left").select(
-        "symbol",
-        "check",
-        severity.alias("severity"),
-        "count",
-        F.coalesce("example_dates", F.array().cast("array<date>")).alias("example_dates"),
+    return (
+        daily.withColumn("place", place)
+        .groupBy("symbol", "check")
+        .agg(
+            F.sum("weight").alias("weight"),
+            F.max("tolerance").alias("tolerance"),
+            F.slice(F.array_sort(F.flatten(F.collect_list(shown))), 1, EXAMPLES).alias("dates"),
+        )
+        .select(
+            "symbol",
+            "check",
+            severity.alias("severity"),
+            # Broken order is one finding, however many dates step back.
+            F.when(unordered, 1).otherwise(F.col("weight")).cast("bigint").alias("count"),
+            F.when(unordered, F.array().cast("array<date>"))
+            .otherwise(F.col("dates"))
+            .alias("example_dates"),
+        )
     )
 
 
