@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, exact_dedup, sharding
+from barloom.llm import bpe, chat, exact_dedup, jaccard_join, sharding
 from barloom.llm.common import as_reports, table
 
 
@@ -84,6 +84,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(as_reports(table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("report_id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(as_reports(table(spark, sf_dir, "documents")))
     return found.select(
@@ -91,10 +96,31 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file the contract names; read on the driver, never copied."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = word_vocabulary()
+    encoded = bpe.encode_reports(as_reports(table(spark, sf_dir, "documents")), vocabulary)
+    return bpe.decode_tokens(encoded, vocabulary).select(
+        F.col("report_id").alias("doc_id"),
+        (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat_format": op2_chat_format,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES = {
