@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, exact_dedup, jaccard_join, sharding
+from barloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    language_model,
+    personal_data,
+    sharding,
+)
 from barloom.llm.common import as_reports, table
 
 
@@ -84,6 +94,29 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark").select("item_id", "text"),
+    )
+
+
+def fold(key: str, n: int) -> Column:
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("text_id"), "text", "lang", (fold("doc_id", 4) == 2).alias("held_out")
+    )
+    network = language_id.train(docs.where("NOT held_out").select("text_id", "text", "lang"))
+    held_out = fold("text_id", 4) == 2
+    return language_id.identify(docs, network).select(
+        F.col("text_id").alias("doc_id"), held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(as_reports(table(spark, sf_dir, "documents")))
     return found.withColumnRenamed("report_id", "doc_id")
@@ -115,12 +148,45 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    found = personal_data.find_personal_data(texts)
+
+    def joined(spans: str) -> Column:
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(one, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("text_id").alias("doc_id"),
+        *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("report_id", 5) == 1
+    scored = language_model.score_reports(as_reports(docs).withColumn("learn", ~held_out))
+    return scored.select(
+        F.col("report_id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_chat_format": op2_chat_format,
+    "op3_decontamination": op3_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_personal_data": op9_personal_data,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {
@@ -136,6 +202,24 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(6 + 1 + 7 + length(role) + length(text)
            + length(regexp_replace(role || text, '[^\\<>]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op3_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+dg AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda j: array_to_string(w[j:j + 4], ' '))) AS g
+  FROM d),
+ig AS (
+  SELECT DISTINCT item_id,
+         unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda j: array_to_string(w[j:j + 4], ' '))) AS g
+  FROM i),
+n AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles, count(*) / item_shingles AS containment
+FROM dg JOIN ig USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80""",
     "op7_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
