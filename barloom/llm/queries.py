@@ -15,6 +15,7 @@ from barloom.llm import (
     language_model,
     personal_data,
     sharding,
+    substring_dedup,
 )
 from barloom.llm.common import as_reports, table
 
@@ -122,6 +123,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("report_id", "doc_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(as_reports(table(spark, sf_dir, "documents")))
+    return cut.select(
+        F.col("report_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(as_reports(table(spark, sf_dir, "documents")))
     return found.select(
@@ -183,6 +191,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_personal_data": op9_personal_data,
