@@ -1,4 +1,8 @@
-"""A corpus pipeline of the operators: each stage reads what the one before kept."""
+"""A corpus pipeline of the operators: each stage reads what the one before kept.
+
+Language identification, exact copies, near duplicates, benchmark
+decontamination, and byte-pair encoding, in this order.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.durable import ensure_checkpoint_dir
-from barloom.llm import exact_dedup
-from barloom.llm.common import as_reports, table
+from barloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from barloom.llm.common import as_reports, stored, table
+from barloom.llm.queries import word_vocabulary
+
+#: Mean probability below which no language is accepted: hardly above chance for four.
+LEAST_SCORE = 0.3
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id is not among those that go."""
+    return docs.join(stored(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters or whose language stays open."""
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text", "lang")
+    found = language_id.identify(texts, language_id.train(texts))
+    rejected = found.where((F.col("lang") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE))
+    return _without(docs, rejected.select(F.col("text_id").alias("doc_id")))
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(as_reports(docs)).where("kept").select(F.col("report_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    found = exact_dedup.exact_duplicates(as_reports(docs)).where("NOT kept")
+    return _without(docs, found.select(F.col("report_id").alias("doc_id")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of linked documents."""
+    found = jaccard_join.near_duplicates(as_reports(docs)).where("report_id <> component_id")
+    return _without(docs, found.select(F.col("report_id").alias("doc_id")))
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return _without(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and a digest of the text they decode to."""
+    vocabulary = word_vocabulary()
+    encoded = bpe.encode_reports(as_reports(docs), vocabulary)
+    return bpe.decode_tokens(encoded, vocabulary).select(
+        F.col("report_id").alias("doc_id"),
+        (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
+        "token_ids",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
-STAGES = [("exact_copies", exact_copies)]
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_test_items),
+    ("bpe", encode),
+]
 
+#: Neither the network nor the encoding can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
