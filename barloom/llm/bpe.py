@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,16 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.common import byte_view, slices
 
-#: Words whose ids a task remembers; the memory is emptied beyond that.
-REMEMBERED = 300_000
+#: Pieces and words whose ids a worker remembers; either memory is emptied beyond that.
+PIECES, REMEMBERED = 300_000, 600_000
 
+#: Symbols up to which merging scans instead of keeping a heap.
+SHORT = 24
+
+#: Marks that end many pieces; they are words of their own after letters.
+_TAILS = frozenset(".,;:!?|")
+
+_NO_MERGE = (1 << 40, -1)
 _NEVER = np.int64(1 << 40)
 _BASE = np.int64(-1)
 
@@ -68,7 +77,10 @@ class Vocabulary:
                 if final:
                     self.left[i], self.right[i], self.birth[i] = final[-1]
         self.reachable = reachable
-        self.longest = max(map(len, reachable), default=1)
+        #: Length of the longest token that begins with two symbols.
+        self.reach: dict[str, int] = {}
+        for token in reachable:
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -90,6 +102,8 @@ class Vocabulary:
     def exact(self, ids: list[int], made: list | None = None) -> list[int]:
         """Apply the lowest-ranked merge, leftmost first, until none is left."""
         n = len(ids)
+        if n <= SHORT and made is None:
+            return self._exact_short(ids)
         ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -113,6 +127,23 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [x for x in ids if x >= 0]
 
+    def _exact_short(self, ids: list[int]) -> list[int]:
+        """The same for few symbols: a scan of the ranks costs less than a heap."""
+        get = self.merges.get
+        due = [get(p, _NO_MERGE) for p in zip(ids, ids[1:])]
+        while due:
+            best = min(due)
+            if best is _NO_MERGE:
+                break
+            i = due.index(best)
+            ids[i : i + 2] = [best[1]]
+            del due[i]
+            if i < len(due):
+                due[i] = get((ids[i], ids[i + 1]), _NO_MERGE)
+            if i:
+                due[i - 1] = get((ids[i - 1], ids[i]), _NO_MERGE)
+        return ids
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(a), _NEVER)
@@ -147,19 +178,18 @@ class Vocabulary:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match over reachable tokens; None where there is none."""
         text = word + self.suffix
-        end, i, out = len(word), 0, []
-        reachable, longest = self.reachable, self.longest
+        size, end, i, out = len(text), len(word), 0, []
+        get, reach = self.reachable.get, self.reach.get
         while i < end:
-            # the last symbol carries the suffix, so a match ends before it or after all
-            found = reachable.get(text[i:]) if len(text) - i <= longest else None
-            if found is not None:
+            furthest = i + reach(text[i : i + 2], 1)
+            # the last symbol carries the suffix: a match ends before it or takes everything
+            if furthest >= size and (found := get(text[i:])) is not None:
                 out.append(found)
                 return out
-            for j in range(min(end - 1, i + longest), i, -1):
-                found = reachable.get(text[i:j])
-                if found is not None:
+            for j in range(min(end - 1, furthest), i, -1):
+                if (found := get(text[i:j])) is not None:
                     break
-            if found is None:
+            else:
                 return None
             out.append(found)
             i = j
@@ -185,7 +215,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts in a task; remembers the ids of blank-separated pieces."""
+    """Encodes texts in a worker; remembers the ids of blank-separated pieces."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -195,50 +225,55 @@ class Encoder:
         ) if vocabulary.special else None
         self.to_symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
         self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _parts(self, piece: str) -> list[str]:
-        """Words of a piece; a special token stands between two empty marks."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece)
-            # character by character: no rule for the end of a word
-            piece = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
-        else:
-            piece = piece.lower()
-        return [w.encode().decode("latin-1").translate(self.to_symbols) for w in self.find(piece)]
+        self.words: dict[str | int, bytes] = {}
+
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Composed and lower-cased character by character: no rule for the end of a word."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+    def _parts(self, text: str) -> list:
+        """Words of a piece; a special token is its id."""
+        tail = text[-1:]
+        body = text[:-1] if tail in _TAILS else text
+        if body.isalpha() and (word := self._folded(body)).isalpha():
+            return [word, tail] if body is not text else [word]
+        special, parts = self.vocabulary.special, []
+        for seg in self.cut.split(text) if self.cut and "<" in text else (text,):
+            if seg in special:
+                parts.append(special[seg])
+            else:
+                parts += self.find(self._folded(seg))
+        return parts
 
     def learn(self, pieces: set[bytes]) -> None:
         """Fill the memory for pieces not seen before."""
-        if len(self.pieces) + len(pieces) > REMEMBERED:
+        if len(self.pieces) + len(pieces) > PIECES:
             self.pieces.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        special = self.vocabulary.special
-        parsed: list[tuple[bytes, list]] = []
-        wanted: set[str] = set()
-        for raw in pieces:
-            text = raw.decode("utf-8", "replace")
-            parts: list = []
-            for seg in self.cut.split(text) if self.cut and "<" in text else (text,):
-                if seg in special:
-                    parts.append(special[seg])
-                elif seg:
-                    parts += self._parts(seg)
-            parsed.append((raw, parts))
-            wanted.update(p for p in parts if isinstance(p, str) and p not in self.words)
-        new = list(wanted)
-        for word, ids in zip(new, self.vocabulary.encode_words(new)):
-            self.words[word] = np.array(ids, "<u4").tobytes()
+        words = self.words
+        parsed = [(raw, self._parts(raw.decode("utf-8", "replace"))) for raw in pieces]
+        new = list({p for _, parts in parsed for p in parts} - words.keys())
+        ids = [p for p in new if isinstance(p, int)]
+        words.update((p, np.array([p], "<u4").tobytes()) for p in ids)
+        new = [p for p in new if isinstance(p, str)]
+        symbols = [
+            w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.to_symbols) for w in new
+        ]
+        words.update(zip(new, (array("I", x).tobytes() for x in self.vocabulary.encode_words(symbols))))
+        known = self.pieces
         for raw, parts in parsed:
-            self.pieces[raw] = b"".join(
-                self.words[p] if isinstance(p, str) else np.array([p], "<u4").tobytes() for p in parts
-            )
+            known[raw] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # bytes split at blanks only
         known = self.pieces
         fresh = set().union(*split) - known.keys()
-        if len(known) + len(fresh) > REMEMBERED:
+        if len(known) + len(fresh) > PIECES:
             known.clear()
             fresh = set().union(*split)
         if fresh:
@@ -246,6 +281,17 @@ class Encoder:
         return [b"".join([known[p] for p in words]) for words in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(digest: str, shared) -> Encoder:
+    """The worker's encoder for a broadcast vocabulary; later tasks find its memory."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(shared.value)
+    return _encoders[digest]
+
+
 def encode_reports(reports: DataFrame, tokenizer_json: str) -> DataFrame:
     """Token ids of reports ``(report_id, report)`` under a word-level BPE vocabulary.
 
@@ -256,9 +302,10 @@ def encode_reports(reports: DataFrame, tokenizer_json: str) -> DataFrame:
     is broadcast.
     """
     shared = reports.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_json))
+    digest = hashlib.sha256(tokenizer_json.encode()).hexdigest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(digest, shared)
         for batch in batches:
             data, offsets = byte_view(batch.column("report"))
             ids = batch.column("report_id")
