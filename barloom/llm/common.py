@@ -39,6 +39,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter in ``narrowed``: a fixed size, whatever the data.
+FILTER_BITS = 1 << 23
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones, by a bitmap of fixed size.
+
+    It goes before an exact join, so that texts nobody wants are not shuffled.
+    Its rows are at most ``FILTER_BITS / 64``, which bounds the broadcast; when
+    the bitmap is full it lets everything pass and the join does all the work.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word = F.shiftrightunsigned(slot, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
+    bitmap = stored(
+        wanted.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    )
+    return rows.join(
+        F.broadcast(bitmap), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(bit) != 0), "left_semi"
+    )
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

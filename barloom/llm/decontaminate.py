@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import narrowed, stored
 
 #: Words of a shingle and the share of an item's shingles that a document must have.
 WORDS, PERCENT = 5, 80
@@ -91,8 +91,11 @@ def contained_items(documents: DataFrame, items: DataFrame, percent: int = PERCE
         )
         pairs = stored(probes.join(sketch.select("mark", "item_id"), "mark").select("doc_id", "item_id").distinct())
         wanted = stored(pairs.select("doc_id").distinct())
-        texts = docs.join(wanted, "doc_id", "left_semi").select(
-            "doc_id", shingle_texts(words_of("text"), k).alias("doc_grams")
+        # the words are a column of their own: inside the lambda they would be split for every run
+        texts = (
+            narrowed(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi")
+            .select("doc_id", words_of("text").alias("w"))
+            .select("doc_id", shingle_texts(F.col("w"), k).alias("doc_grams"))
         )
         exact = (
             pairs.join(texts, "doc_id")
