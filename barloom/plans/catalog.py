@@ -40,6 +40,7 @@ from barloom.plans import oracle_parts as sql
 from barloom.plans.inputs import SPEC
 from barloom.plans.oracle_parts import num, rounded, with_sql
 from barloom.sources import panel_store, raw_bars
+from barloom.sources.ticks import bars_from_ticks, event_ticks
 from barloom.streaming import ingest, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,20 +146,19 @@ def history_coverage(spark, sf):
     "normalise_raw",
     with_sql(
         sql.cleaned_bars(),
-        f"SELECT symbol, date, {num('open', 'high', 'low', 'close', 'volume')} "
-        "FROM ranked WHERE pick = 1",
+        f"SELECT symbol, date, {_BAR_NUMBERS} FROM ranked WHERE pick = 1",
     ),
 )
 def normalise_raw(spark, sf):
     raw = inputs.raw_bars(spark, sf).withColumnsRenamed(
         {"open": "Open", "high": " HIGH", "adj_close": "Adj Close", "date": "Date"}
     )
-    return tidy(raw_bars.normalise(raw).drop("adj_close"))
+    return tidy(raw_bars.normalise(raw))
 
 
 _RESTATED = f"""{sql.trade_bars()},
 fresh AS (
-  SELECT symbol, date, close, adj_close * CASE WHEN symbol = 'N' THEN 0.95 ELSE 1.0 END AS adj_close
+  SELECT * REPLACE (adj_close * CASE WHEN symbol = 'N' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS adj_close)
   FROM bars WHERE date >= DATE '2001-06-01'),
 stored AS (SELECT * FROM bars WHERE date <= DATE '2001-07-01')"""
 
@@ -192,29 +192,37 @@ def restatement_check(spark, sf):
     "merge_newest",
     with_sql(
         _RESTATED,
-        f"""SELECT symbol, date, {rounded('coalesce(f.adj_close, s.adj_close)', 'adj_close')},
-  {rounded('coalesce(f.close, s.close)', 'close')}
-FROM stored s FULL JOIN fresh f USING (symbol, date)""",
+        "SELECT symbol, date, "
+        + ", ".join(rounded(f"coalesce(f.{c}, s.{c})", c) for c in cleaning.FIELDS)
+        + " FROM stored s FULL JOIN fresh f USING (symbol, date)",
     ),
 )
 def merge_newest(spark, sf):
-    merged = panel_store.merge_newest(*_increment(spark, sf))
-    return tidy(merged.select("symbol", "date", "adj_close", "close"))
+    return tidy(panel_store.merge_newest(*_increment(spark, sf)))
+
+
+_REBASED = (
+    "adj_close * CASE WHEN symbol = 'N' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END"
+)
+
+
+def _new_store(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
     "incremental_store",
     with_sql(
         sql.trade_bars(),
-        f"""SELECT symbol, date, {rounded("adj_close * CASE WHEN symbol = 'N' THEN 0.95::DOUBLE "
-            "ELSE 1.0::DOUBLE END", 'adj_close', 8)}, {num('close', 'volume')} FROM bars""",
+        f"""SELECT symbol, date, {num('open', 'high', 'low', 'close', digits=8)},
+  {rounded(_REBASED, 'adj_close', 8)}, {num('volume', digits=8)} FROM bars""",
     ),
 )
 def incremental_store(spark, sf):
     """Store a history, merge an increment that restates one symbol, read it back."""
     bars = inputs.trade_bars(spark, sf)
     stored, fresh = _increment(spark, sf)
-    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    root = _new_store(spark, "store")
     panel_store.write_batch(stored, root, 0)
 
     def full_history(symbols):
@@ -222,8 +230,111 @@ def incremental_store(spark, sf):
         return rebased.join(symbols, "symbol", "left_semi")
 
     ingest.merge_increment(spark, fresh, root, 1, full_history)
-    out = panel_store.read_panel(spark, root)
-    return tidy(out.select("symbol", "date", "adj_close", "close", "volume"), 8)
+    return tidy(panel_store.read_panel(spark, root), 8)
+
+
+@query(
+    "store_range_after_reload",
+    with_sql(
+        sql.trade_bars(),
+        f"SELECT symbol, date, {_BAR_NUMBERS} FROM bars "
+        "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND symbol <> 'R'",
+    ),
+)
+def store_range_after_reload(spark, sf):
+    """A later reload of one symbol, outside the range asked for, makes its older rows stale."""
+    bars = inputs.trade_bars(spark, sf)
+    root = _new_store(spark, "reloaded")
+    panel_store.write_batch(bars, root, 0)
+    panel_store.write_batch(
+        bars.where("symbol = 'R' AND date >= DATE '1999-01-01'"), root, 1, panel_store.RELOAD
+    )
+    return tidy(panel_store.read_panel(spark, root, ["A", "N", "R"], "1996-01-01", "1997-12-31"))
+
+
+@query(
+    "held_back_increment",
+    with_sql(
+        sql.trade_bars(),
+        f"""SELECT symbol, date, {num('open', 'high', 'low', 'close', digits=8)},
+  {rounded(_REBASED, 'adj_close', 8)}, {num('volume', digits=8)} FROM bars""",
+    ),
+)
+def held_back_increment(spark, sf):
+    """Increments of a restated symbol wait without a source and come in with its reload."""
+    bars = inputs.trade_bars(spark, sf)
+    factor = F.when(F.col("symbol") == "N", 0.95).otherwise(1.0)
+    rebased = bars.withColumn("adj_close", F.col("adj_close") * factor)
+    root = _new_store(spark, "held")
+    panel_store.write_batch(bars.where("date <= DATE '1999-12-31'"), root, 0)
+    for batch, (lo, hi) in enumerate((("1999-12-01", "2000-06-30"), ("2000-07-01", "2000-12-31")), 1):
+        ingest.merge_increment(spark, rebased.where(F.col("date").between(lo, hi)), root, batch)
+
+    def history(symbols):
+        # the source ends before the increments that wait
+        return rebased.where("date <= DATE '2000-03-31'").join(symbols, "symbol", "left_semi")
+
+    ingest.merge_increment(spark, rebased.where("date >= DATE '2001-01-01'"), root, 3, history)
+    return tidy(panel_store.read_panel(spark, root), 8)
+
+
+@query(
+    "ingest_order",
+    with_sql(
+        sql.trade_bars(),
+        f"""SELECT symbol, date, {num('open', 'high', 'low')},
+  {rounded("CASE WHEN date >= DATE '1997-01-01' THEN close + 1 ELSE close END", 'close')},
+  {num('adj_close', 'volume')} FROM bars""",
+    ),
+)
+def ingest_order(spark, sf):
+    """Two landed folders with shared days: the newer and larger file wins, whatever is read first."""
+    bars = inputs.trade_bars(spark, sf)
+    root = _new_store(spark, "landed")
+    older = bars.where("date < DATE '1997-04-01'")
+    newer = bars.where("date >= DATE '1997-01-01'").withColumn("close", F.col("close") + 1)
+    older.coalesce(1).write.parquet(f"{root}/a")
+    newer.coalesce(1).write.parquet(f"{root}/b")
+    return tidy(raw_bars.normalise(raw_bars.read_raw(spark, [f"{root}/b", f"{root}/a"])))
+
+
+_SHIFTED = """ticks AS (
+  SELECT event_type AS symbol, ts, event_id AS seq,
+         CAST(round((value - 50) * 1e6) AS BIGINT) AS px, 1.0::DOUBLE AS vol
+  FROM events)"""
+
+
+@query(
+    "bars_negative_prices",
+    with_sql(
+        _SHIFTED,
+        f"""SELECT symbol, CAST(ts AS DATE) AS date, {rounded('arg_min(px, row(seq, px)) / 1e6', 'open')},
+  {rounded('max(px) / 1e6', 'high')}, {rounded('min(px) / 1e6', 'low')},
+  {rounded('arg_max(px, row(seq, px)) / 1e6', 'close')},
+  {rounded('arg_max(px, row(seq, px)) / 1e6', 'adj_close')}, {rounded('sum(vol)', 'volume')}
+FROM ticks GROUP BY symbol, CAST(ts AS DATE)""",
+    ),
+)
+def bars_negative_prices(spark, sf):
+    """Prices below zero pass through unchanged; validation finds them later."""
+    shifted = event_ticks(inputs.table(spark, sf, "events")).withColumn("price", F.col("price") - 50)
+    return tidy(bars_from_ticks(shifted))
+
+
+@query(
+    "range_uncovered",
+    with_sql(
+        sql.trade_bars(),
+        """SELECT symbol FROM bars GROUP BY symbol
+HAVING symbol = 'A' OR coalesce(min(date) FILTER (date BETWEEN DATE '1995-01-02' AND DATE '1999-03-31')
+  > DATE '1995-01-12', true)""",
+    ),
+)
+def range_uncovered(spark, sf):
+    bars = inputs.trade_bars(spark, sf)
+    asked = bars.select("symbol").distinct()
+    late = bars.where("symbol <> 'A' OR date >= DATE '1995-02-01'")
+    return panel_store.uncovered(late, asked, "1995-01-02", "1999-03-31")
 
 
 # ---------------------------------------------------------------- quality
@@ -1136,19 +1247,38 @@ def break_even_cost(spark, sf):
     return tidy(stress.break_even_cost(swept))
 
 
-_ROBUST = f"""{_COST_RUNS},
+_THRESHOLD_RUNS = f"{_grid_sql(_PRED, 'threshold', _THRESHOLDS)},\n" + sql.score_runs(
+    "gridded", "symbol, threshold", "threshold", "7"
+)
+
+
+def _sweep_rows(chain: str, name: str, where: str = "") -> str:
+    return f"""SELECT * FROM (WITH RECURSIVE {chain}
+  SELECT symbol, '{name}' AS sweep, total_return, sharpe_ratio, beats_buy_and_hold FROM runs_scored {where})"""
+
+
+_ROBUST = f"""swept AS (
+  {_sweep_rows(_COST_RUNS, 'cost')} UNION ALL {_sweep_rows(_THRESHOLD_RUNS, 'threshold')}
+  UNION ALL {_sweep_rows(_PERIODS, 'period', 'JOIN sizes USING (symbol, period) WHERE days >= 20')}),
 robust AS (
-  SELECT symbol, 'cost' AS sweep, count(*) AS n_configurations, min(total_return) AS return_min,
+  SELECT symbol, sweep, count(*) AS n_configurations, min(total_return) AS return_min,
     max(total_return) AS return_max, avg(total_return) AS return_mean,
     stddev_samp(total_return) AS return_std, min(sharpe_ratio) AS sharpe_min,
     max(sharpe_ratio) AS sharpe_max,
-    avg(CASE WHEN beats_buy_and_hold THEN 100.0 ELSE 0.0 END) AS pct_beating_benchmark
-  FROM runs_scored GROUP BY symbol)"""
+    avg(CASE WHEN beats_buy_and_hold THEN 100.0 WHEN NOT beats_buy_and_hold THEN 0.0 END) AS pct_beating_benchmark
+  FROM swept GROUP BY symbol, sweep),
+verdicts AS (
+  SELECT symbol, avg(pct_beating_benchmark) AS mean_beat_rate, max(return_std) AS spread
+  FROM robust GROUP BY symbol)"""
 
 
 def _robust(spark, sf):
-    swept = stress.sweep_costs(inputs.momentum(spark, sf), _COSTS)
-    return stress.robustness_summary({"cost": swept})
+    predicted = inputs.momentum(spark, sf)
+    return stress.robustness_summary({
+        "cost": stress.sweep_costs(predicted, _COSTS),
+        "threshold": stress.sweep_thresholds(predicted, _THRESHOLDS),
+        "period": stress.sweep_periods(predicted),
+    })
 
 
 @query(
@@ -1168,9 +1298,9 @@ def robustness_summary(spark, sf):
     "stress_verdict",
     with_sql(
         _ROBUST,
-        f"""SELECT symbol, {rounded('pct_beating_benchmark', 'mean_beat_rate')},
-  CASE WHEN pct_beating_benchmark >= 75 THEN 'robust' WHEN pct_beating_benchmark >= 40 THEN 'mixed'
-       ELSE 'no_edge' END AS verdict, return_std > 0.5 AS fragile FROM robust""",
+        f"""SELECT symbol, {num('mean_beat_rate')},
+  CASE WHEN mean_beat_rate >= 75 THEN 'robust' WHEN mean_beat_rate >= 40 THEN 'mixed'
+       ELSE 'no_edge' END AS verdict, coalesce(spread > 0.5, false) AS fragile FROM verdicts""",
     ),
 )
 def stress_verdict(spark, sf):
@@ -1398,13 +1528,13 @@ def model_metrics(spark, sf):
 @query("model_compare")
 def model_compare(spark, sf):
     data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
-    return study.compare_models(data, SPEC, ("linear", "ridge", "random_forest"))
+    return study.compare_models(data, SPEC)
 
 
 @query("best_models")
 def best_models(spark, sf):
     data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
-    return eda.best_models(study.compare_models(data, SPEC, ("linear", "ridge")))
+    return eda.best_models(study.compare_models(data, SPEC))
 
 
 @query("walk_forward")
@@ -1443,7 +1573,7 @@ def walk_forward_backtest(spark, sf):
 @query("sweep_seed")
 def sweep_seed(spark, sf):
     data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
-    stacked = study.seed_predictions(data, SPEC, "random_forest", (0, 1), {"trees": 50})
+    stacked = study.seed_predictions(data, SPEC, "random_forest")
     return stress.sweep_seeds(stacked)
 
 

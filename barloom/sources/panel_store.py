@@ -48,9 +48,18 @@ def write_batch(
 ) -> None:
     """Store one increment.  ``kind`` may also be a column of ``bars``.
 
+    The first batch fixes the number of buckets; another number is an error.
     Rows go to their bucket by date range as well, so a symbol that makes up
     most of an increment is written by several tasks.
     """
+    spark, root = bars.sparkSession, root.rstrip("/")
+    known = stored_buckets(spark, root)
+    if known is None:
+        spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{root}/_buckets"
+        )
+    elif known != buckets:
+        raise ValueError(f"the store at {root} has {known} buckets, not {buckets}")
     if "kind" not in bars.columns:
         bars = bars.withColumn("kind", F.lit(kind))
     (
@@ -60,7 +69,7 @@ def write_batch(
         .sortWithinPartitions("bucket", "symbol", "date")
         .write.mode("overwrite")
         .partitionBy("bucket")
-        .parquet(f"{root.rstrip('/')}/batch={batch}")
+        .parquet(f"{root}/batch={batch}")
     )
 
 
@@ -77,46 +86,59 @@ def read_increments(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(STORE_SCHEMA).parquet(root)
 
 
-def newest_revisions(increments: DataFrame) -> DataFrame:
-    """The current panel.
+def last_reloads(increments: DataFrame) -> DataFrame:
+    """The batch of each symbol's last full reload: an aggregate of a few values."""
+    return (
+        increments.where(F.col("kind") == RELOAD).groupBy("symbol").agg(F.max("batch").alias("__since"))
+    )
+
 
-    Two aggregates, both with map-side combine: the last reload per symbol
-    (an aggregate of a few values) and the newest revision per (symbol, date).
+def newest_revisions(increments: DataFrame, reloads: DataFrame | None = None) -> DataFrame:
+    """The current panel: the newest revision per (symbol, date).
+
+    ``reloads`` must come from all increments of the symbols; where the rows are
+    cut to a date range, a reload outside it still makes older rows stale.  A
+    reload without bars is one row without a date.  Both aggregates combine
+    before the shuffle.
     """
-    reloads = (
-        increments.where(F.col("kind") == RELOAD)
-        .groupBy("symbol")
-        .agg(F.max("batch").alias("__since"))
-    )
+    reloads = last_reloads(increments) if reloads is None else reloads
     live = increments.join(reloads, "symbol", "left").where(
-        F.col("batch") >= F.coalesce("__since", F.lit(-(2**62)).cast("bigint"))
+        (F.col("batch") >= F.coalesce("__since", F.lit(-(2**62)).cast("bigint")))
+        & F.col("date").isNotNull()
     )
     return live.groupBy("symbol", "date").agg(
         *[F.max_by(c, "batch").alias(c) for c in FIELDS]
     )
 
 
+def stored_buckets(spark: SparkSession, root: str) -> int | None:
+    """The number of buckets a store was written with; None for a new one."""
+    path = f"{root.rstrip('/')}/_buckets"
+    return int(spark.read.text(path).first()[0]) if _exists(spark, path) else None
+
+
 def read_panel(
     spark: SparkSession,
     root: str,
     symbols: Sequence[str] | None = None,
     start: str | None = None,
     end: str | None = None,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Current bars of the named symbols within [start, end]."""
     rows = read_increments(spark, root)
     if symbols is not None:
         wanted = [s.upper() for s in symbols]
+        buckets = stored_buckets(spark, root) or BUCKETS
         rows = rows.where(
             F.col("bucket").isin(sorted({bucket_number(s, buckets) for s in wanted}))
             & F.col("symbol").isin(wanted)
         )
+    reloads = last_reloads(rows)
     if start:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    return newest_revisions(rows)
+    return newest_revisions(rows, reloads)
 
 
 def load_many(
@@ -146,16 +168,26 @@ def history_coverage(bars: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def load_range(
-    spark: SparkSession, root: str, symbols: Sequence[str], start: str, end: str, **options
-) -> DataFrame:
-    """Bars in range of the symbols whose history covers the start; others raise."""
-    bars = read_panel(spark, root, symbols, start, end, **options)
+def uncovered(bars: DataFrame, symbols: DataFrame, start: str, end: str) -> DataFrame:
+    """Asked symbols whose stored history does not reach back to the start."""
     covered = history_coverage(bars, start, end).where("covers_start").select("symbol")
-    out = bars.join(covered, "symbol", "left_semi")
+    return symbols.join(covered, "symbol", "left_anti")
+
+
+def load_range(
+    spark: SparkSession, root: str, symbols: Sequence[str], start: str, end: str
+) -> tuple[DataFrame, DataFrame]:
+    """Bars in range of the symbols whose history covers the start, and the other symbols.
+
+    It is an error when no symbol is covered.
+    """
+    bars = read_panel(spark, root, symbols, start, end)
+    asked = spark.createDataFrame([(s.upper(),) for s in symbols], "symbol string").distinct()
+    lacking = uncovered(bars, asked, start, end)
+    out = bars.join(lacking, "symbol", "left_anti")
     if out.isEmpty():
         raise LoadError(f"stored history of {list(symbols)} starts after {start}")
-    return out
+    return out, lacking
 
 
 def restatements(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -210,6 +242,16 @@ def overlap_start(existing: DataFrame, days: int = OVERLAP_DAYS) -> DataFrame:
     return existing.groupBy("symbol").agg(F.date_sub(F.max("date"), days).alias("since"))
 
 
+def fresh_part(existing: DataFrame, source: DataFrame, days: int = OVERLAP_DAYS) -> DataFrame:
+    """What an update reads of a source: the overlap and what is new, all of a new symbol."""
+    since = overlap_start(existing, days)
+    return (
+        source.join(since, "symbol", "left")
+        .where(F.col("since").isNull() | (F.col("date") >= F.col("since")))
+        .drop("since")
+    )
+
+
 def compact(spark: SparkSession, root: str, target: str, buckets: int = BUCKETS) -> None:
     """Write the current panel as the single first batch of a new store."""
     if root.rstrip("/") == target.rstrip("/"):

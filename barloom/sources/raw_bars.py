@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.functions.columns import TRADING_DAYS, ratio
 from barloom.functions.windows import by_date
@@ -32,12 +33,55 @@ def field_of(name: str) -> str | None:
     return ALIASES.get(text) or ALIASES.get(text.replace("_", " "))
 
 
+#: Where rows came from, as taken along by a reader: file and time of its last change.
+SOURCE = ("__file", "__changed")
+
+
+def with_source(df: DataFrame) -> DataFrame:
+    """Rows of a file source with the file they came from."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias(SOURCE[0]),
+        F.col("_metadata.file_modification_time").alias(SOURCE[1]),
+    )
+
+
+def number_arrivals(df: DataFrame) -> DataFrame:
+    """``ingest_seq``: consecutive numbers by change time of the file, its path, and row.
+
+    Tasks read file splits in an order of their own, so the running number of
+    Spark only orders rows within one split.  The table that puts the splits in
+    order has one row for each, which bounds its window and its size.
+    """
+    number = F.monotonically_increasing_id()
+    rows = df.withColumn("__part", F.shiftright(number, 33)).withColumn(
+        "__row", number.bitwiseAND((1 << 33) - 1)
+    )
+    before = Window.orderBy(SOURCE[1], SOURCE[0], "__part").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        rows.groupBy(*SOURCE, "__part")
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+        .withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
+        .drop("__n", "__first")
+    )
+    return (
+        rows.join(splits, [*SOURCE, "__part"])
+        .withColumn("ingest_seq", F.col("__base") + F.col("__row"))
+        .drop(*SOURCE, "__part", "__row", "__base")
+    )
+
+
 def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "parquet", **options) -> DataFrame:
-    """Landed files, numbered in arrival order."""
+    """Landed files, numbered in arrival order: the file changed last comes last."""
     if fmt == "csv":
         options = {"header": True, **options}
-    df = spark.read.format(fmt).options(**options).load(path)
-    return df.withColumn("ingest_seq", F.monotonically_increasing_id())
+    return number_arrivals(with_source(spark.read.format(fmt).options(**options).load(path)))
+
+
+def unreadable_dates(df: DataFrame, date_col: str = "date", tz: str | None = None) -> DataFrame:
+    """Rows whose date cannot be read; ``normalise`` has no place for them."""
+    when = next(c for c in df.columns if c.lower() == date_col.lower())
+    return df.where(_date_of(when, dict(df.dtypes)[when], tz).isNull())
 
 
 def normalise(

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 #: Prices are carried as whole millionths, so bars are exact and order-free.
 TICKS_PER_UNIT = 1_000_000
-_PRICE_SLOT = 10**15
+_PRICE_SLOT = 10**18
+_PRICE_SHIFT = 4 * 10**17
+
+#: Largest price, either way, that a bar can hold.
+MAX_PRICE = 4 * 10**11 - 1
 
 BAR_FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
 
@@ -19,52 +23,63 @@ def _bucket(ts: Column, every: str) -> Column:
     return day if every == "day" else F.trunc(day, every)
 
 
-def bars_from_ticks(ticks: DataFrame, every: str = "day") -> DataFrame:
-    """Aggregate ``(symbol, ts, seq, price, volume)`` into one bar per interval.
+def bar_aggregates() -> list[Column]:
+    """What one bar keeps of its ticks; shared by batch and stream.
 
-    ``seq`` (bigint) orders the ticks; equal numbers are ordered by price.
     First and last price come from the minimum and maximum of one decimal,
-    ``seq`` followed by the fixed-point price.  All buffers are then fixed
-    width, which keeps the aggregation a hash aggregate with map-side combine:
-    what is shuffled is one row per (symbol, interval) and task, no matter how
-    many ticks a hot symbol has.  ``min_by`` over a struct key would sort all
-    ticks first.
-
-    ``adj_close`` equals ``close``: ticks carry no corporate actions.
+    ``seq`` followed by the price shifted to be positive.  All buffers are then
+    fixed width, which keeps the aggregation a hash aggregate with map-side
+    combine: what is shuffled is one row per (symbol, interval) and task, no
+    matter how many ticks a hot symbol has.  ``min_by`` over a struct key would
+    sort all ticks first.
     """
     micros = F.round(F.col("price") * F.lit(float(TICKS_PER_UNIT))).cast("bigint")
-    ranked = F.col("seq").cast("decimal(19,0)") * F.lit(_PRICE_SLOT).cast(
-        "decimal(16,0)"
-    ) + F.col("px").cast("decimal(15,0)")
+    slot = F.lit(_PRICE_SLOT).cast("decimal(19,0)")
+    ranked = F.col("seq").cast("decimal(19,0)") * slot + (
+        micros.cast("decimal(19,0)") + F.lit(_PRICE_SHIFT).cast("decimal(19,0)")
+    )
+    return [
+        F.min(ranked).alias("__first"),
+        F.max(ranked).alias("__last"),
+        F.max(micros).alias("__high"),
+        F.min(micros).alias("__low"),
+        F.sum("volume").alias("volume"),
+    ]
+
+
+def bar_fields() -> list[Column]:
+    """The fields of a bar from its aggregates."""
     unit = F.lit(float(TICKS_PER_UNIT))
 
     def price_of(c: str) -> Column:
-        slot = F.lit(_PRICE_SLOT).cast("decimal(16,0)")
-        return (F.col(c) % slot).cast("bigint").cast("double") / unit
+        slot = F.lit(_PRICE_SLOT).cast("decimal(19,0)")
+        # a negative number before the slot makes the remainder negative as well
+        shifted = F.pmod(F.col(c), slot).cast("bigint") - F.lit(_PRICE_SHIFT)
+        return shifted.cast("double") / unit
 
+    return [
+        price_of("__first").alias("open"),
+        (F.col("__high") / unit).alias("high"),
+        (F.col("__low") / unit).alias("low"),
+        price_of("__last").alias("close"),
+        price_of("__last").alias("adj_close"),
+        F.col("volume"),
+    ]
+
+
+def bars_from_ticks(ticks: DataFrame, every: str = "day") -> DataFrame:
+    """Aggregate ``(symbol, ts, seq, price, volume)`` into one bar per interval.
+
+    ``seq`` (bigint) orders the ticks; equal numbers are ordered by price.
+    Prices carry six decimals and lie within plus or minus ``MAX_PRICE``;
+    negative ones come through unchanged, for validation to find.  ``adj_close``
+    equals ``close``: ticks carry no corporate actions.
+    """
     return (
-        ticks.select(
-            "symbol", _bucket(F.col("ts"), every).alias("date"), "seq", micros.alias("px"), "volume"
-        )
-        .withColumn("__ranked", ranked)
+        ticks.select("symbol", _bucket(F.col("ts"), every).alias("date"), "seq", "price", "volume")
         .groupBy("symbol", "date")
-        .agg(
-            F.min("__ranked").alias("__first"),
-            F.max("__ranked").alias("__last"),
-            F.max("px").alias("__high"),
-            F.min("px").alias("__low"),
-            F.sum("volume").alias("volume"),
-        )
-        .select(
-            "symbol",
-            "date",
-            price_of("__first").alias("open"),
-            (F.col("__high") / unit).alias("high"),
-            (F.col("__low") / unit).alias("low"),
-            price_of("__last").alias("close"),
-            price_of("__last").alias("adj_close"),
-            F.col("volume"),
-        )
+        .agg(*bar_aggregates())
+        .select("symbol", "date", *bar_fields())
     )
 
 

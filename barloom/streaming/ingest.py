@@ -9,16 +9,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from barloom.functions.durable import checkpointed
+from barloom.operators.cleaning import FIELDS
 from barloom.sources.panel_store import (
     BUCKETS,
     MERGE,
     RELOAD,
+    last_reloads,
+    merge_newest,
     newest_revisions,
     read_increments,
     restatements,
     write_batch,
 )
-from barloom.sources.raw_bars import normalise
+from barloom.sources.raw_bars import normalise, number_arrivals, with_source
+from barloom.sources.ticks import bar_aggregates, bar_fields
+
+
+PENDING = "pending"
+
+
+def held_back(spark: SparkSession, root: str, before: int) -> DataFrame:
+    """Rows of restated symbols that wait for a reload, from earlier batches.
+
+    A symbol's rows wait until a later reload of the symbol is stored.
+    """
+    waiting = read_increments(spark, f"{root.rstrip('/')}-{PENDING}").where(F.col("batch") < before)
+    done = last_reloads(read_increments(spark, root).where(F.col("batch") < before))
+    return (
+        waiting.join(done, "symbol", "left")
+        .where(F.col("__since").isNull() | (F.col("batch") > F.col("__since")))
+        .drop("__since")
+    )
 
 
 def merge_increment(
@@ -33,21 +55,35 @@ def merge_increment(
 
     A restated symbol's increment rows are replaced by its whole history from
     ``full_history`` (given the restated symbols), marked as a reload, so no
-    row of the old basis survives on read.  Without that source the restated
-    symbols are held back and only reported.
+    row of the old basis survives on read.  Without that source, and for
+    symbols it has nothing of, the increment rows are stored beside the panel
+    as pending; the next reload of the symbol brings them in, where it has no
+    newer row of its own.  No landed row is lost.
     """
     # A batch that is being repeated must not see its own first attempt.
     stored = read_increments(spark, root).where(F.col("batch") < batch)
     touched = stored.join(fresh.select("symbol").distinct(), "symbol", "left_semi")
-    moved = restatements(newest_revisions(touched), fresh).where("restated")
+    waiting = held_back(spark, root, batch)
+    moved = checkpointed(
+        restatements(newest_revisions(touched), fresh)
+        .where("restated")
+        .join(waiting.select("symbol").distinct(), "symbol", "full")
+        .where(F.col("restated").isNotNull() | F.lit(full_history is not None))
+    )
     keep = fresh.join(moved.select("symbol"), "symbol", "left_anti").withColumn(
         "kind", F.lit(MERGE)
     )
+    late = fresh.join(moved.select("symbol"), "symbol", "left_semi")
     if full_history is not None:
-        again = full_history(moved.select("symbol")).withColumn("kind", F.lit(RELOAD))
-        keep = keep.unionByName(again.select(*keep.columns))
+        again = checkpointed(full_history(moved.select("symbol")).select("symbol", "date", *FIELDS))
+        known = again.select("symbol").distinct()
+        old = newest_revisions(waiting).join(known, "symbol", "left_semi")
+        reload = merge_newest(old, merge_newest(late.join(known, "symbol", "left_semi"), again))
+        keep = keep.unionByName(reload.withColumn("kind", F.lit(RELOAD)).select(*keep.columns))
+        late = late.join(known, "symbol", "left_anti")
+    write_batch(late, f"{root.rstrip('/')}-{PENDING}", batch, buckets=buckets)
     write_batch(keep, root, batch, buckets=buckets)
-    return moved
+    return moved.where(F.col("restated")).select("symbol", "shared_date", "old_basis", "new_basis", "restated")
 
 
 def ingest_bars(
@@ -71,11 +107,11 @@ def ingest_bars(
         stream = stream.option("header", True)
 
     def take(batch_df: DataFrame, batch: int) -> None:
-        fresh = normalise(batch_df, **normalise_options)
+        fresh = checkpointed(normalise(number_arrivals(batch_df), **normalise_options))
         merge_increment(batch_df.sparkSession, fresh, root, batch, full_history, buckets)
 
     return (
-        stream.load(landing)
+        with_source(stream.load(landing))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -84,31 +120,17 @@ def ingest_bars(
 
 
 def stream_bars(ticks: DataFrame, every: str, delay: str) -> DataFrame:
-    """Ticks of a stream to closed bars.
+    """Ticks of a stream to closed bars, with the columns and values of the batch form.
 
-    The same aggregation as in batch, with a watermark: a bar comes out once
-    no tick older than ``delay`` can still change it.
+    A bar comes out once no tick older than ``delay`` can still change it.
+    Weeks begin on Monday, as in batch.
     """
-    width = {"hour": "1 hour", "day": "1 day"}[every]
-    windowed = (
+    width, offset = {"hour": ("1 hour", "0 hours"), "day": ("1 day", "0 hours"), "week": ("7 days", "4 days")}[every]
+    start = F.col("__w.start")
+    return (
         ticks.withWatermark("ts", delay)
-        .withColumn("__w", F.window("ts", width))
+        .withColumn("__w", F.window("ts", width, startTime=offset))
         .groupBy("symbol", "__w")
-        .agg(
-            F.min(F.struct("seq", "price")).alias("__first"),
-            F.max(F.struct("seq", "price")).alias("__last"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.sum("volume").alias("volume"),
-        )
-    )
-    return windowed.select(
-        "symbol",
-        F.col("__w.start").alias("date"),
-        F.col("__first.price").alias("open"),
-        "high",
-        "low",
-        F.col("__last.price").alias("close"),
-        F.col("__last.price").alias("adj_close"),
-        "volume",
+        .agg(*bar_aggregates())
+        .select("symbol", (start if every == "hour" else F.to_date(start)).alias("date"), *bar_fields())
     )

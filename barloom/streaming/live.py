@@ -103,8 +103,9 @@ def next_bars(log: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",)
     """For each logged bar date: the next bar that exists, and its return.
 
     Log dates need not be bar dates.  Both sides are laid on one time line per
-    symbol and each log row looks ahead to the first bar; there is no range
-    join, and holidays need no calendar.
+    symbol, newest first, and each log row takes the last bar passed; the frame
+    only grows, so the cost is linear.  There is no range join, and holidays
+    need no calendar.
     """
     moves = realised_returns(bars, keys=keys).select(
         *keys, "date", F.struct("date", "asset_return").alias("bar")
@@ -113,11 +114,13 @@ def next_bars(log: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",)
     line = moves.withColumn("__mark", F.lit(0)).unionByName(
         marks.withColumn("__mark", F.lit(1)), allowMissingColumns=True
     )
-    ahead = Window.partitionBy(*keys).orderBy("date", "__mark").rowsBetween(
-        1, Window.unboundedFollowing
+    passed = (
+        Window.partitionBy(*keys)
+        .orderBy(F.desc("date"), F.desc("__mark"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        line.withColumn("__next", F.first("bar", ignorenulls=True).over(ahead))
+        line.withColumn("__next", F.last("bar", ignorenulls=True).over(passed))
         .where((F.col("__mark") == 1) & F.col("__next").isNotNull())
         .select(
             *keys,

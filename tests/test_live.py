@@ -50,7 +50,8 @@ def test_coverage_and_missing_symbols(spark, tmp_path):
     store.write_batch(to_spark(spark, linear_bars(20)), root, 0)
     _, absent = store.load_many(spark, root, ["AAA", "ZZZ"])
     assert [r["symbol"] for r in absent.collect()] == ["ZZZ"]
-    assert store.load_range(spark, root, ["AAA"], "2024-01-01", "2024-12-31").count() == 20
+    bars, lacking = store.load_range(spark, root, ["AAA", "ZZZ"], "2024-01-01", "2024-12-31")
+    assert bars.count() == 20 and [r["symbol"] for r in lacking.collect()] == ["ZZZ"]
     with pytest.raises(ValueError):
         store.load_range(spark, root, ["AAA"], "2020-01-01", "2024-12-31")
 
@@ -66,6 +67,44 @@ def test_file_stream_is_idempotent(spark, tmp_path):
     assert store.read_panel(spark, root).count() == 25
 
 
+def test_range_read_sees_a_reload_outside_the_range(spark, tmp_path):
+    root = str(tmp_path / "bars")
+    pdf = linear_bars(20)
+    store.write_batch(to_spark(spark, pdf), root, 0)
+    store.write_batch(to_spark(spark, pdf.iloc[15:]), root, 1, store.RELOAD)
+    first = str(pdf["date"].iloc[0])[:10]
+    assert store.read_panel(spark, root, ["AAA"], end=first).isEmpty()
+    with pytest.raises(ValueError, match="buckets"):
+        store.write_batch(to_spark(spark, pdf), root, 2, buckets=8)
+
+
+def test_restated_rows_wait_and_are_not_lost(spark, tmp_path):
+    landing, root, mark = (str(tmp_path / p) for p in ("landing", "bars", "mark"))
+    pdf = linear_bars(25)
+    rebased = pdf.assign(adj_close=pdf["close"] * 0.95)
+    parts = [pdf.iloc[:15], rebased.iloc[14:18], rebased.iloc[18:22]]
+    for part in parts:
+        to_spark(spark, part).write.mode("append").parquet(landing)
+        ingest_bars(spark, landing, BARS, root, mark).awaitTermination()
+    assert store.read_panel(spark, root).count() == 15
+    history = to_spark(spark, rebased.iloc[:16])
+    merge_increment(spark, to_spark(spark, rebased.iloc[22:]), root, 9,
+                    lambda symbols: history.join(symbols, "symbol", "left_semi"))
+    bars = local(store.read_panel(spark, root), "date")
+    assert len(bars) == 25 and ((bars["adj_close"] / bars["close"] - 0.95).abs() < 1e-12).all()
+
+
+def test_next_bar_is_linear_in_history(spark):
+    n = 40_000
+    bars = spark.range(n).selectExpr(
+        "'A' AS symbol", "date_add(DATE '1900-01-01', CAST(id AS INT)) AS date", "1.0 + id AS close", "1.0 + id AS adj_close"
+    )
+    log = bars.selectExpr("symbol", "date AS bar_date")
+    out = next_bars(log, bars)
+    assert out.count() == n - 1
+    assert out.where("target_date <> date_add(bar_date, 1)").isEmpty()
+
+
 def test_bar_finality(spark):
     def final(day, now):
         d = F.lit(day).cast("date")

@@ -132,3 +132,36 @@ def test_wide_header_to_long(spark):
     )
     got = {r["symbol"]: (r["open"], r["close"]) for r in wide_to_long(df).collect()}
     assert got == {"AAA": ("2.0", "1.0"), "BBB": ("4.0", "3.0")}
+
+
+def test_newer_file_wins_whatever_its_size(spark, tmp_path):
+    """Tasks read large files first; arrival is by change time of the file."""
+    import os
+
+    from barloom.sources.raw_bars import normalise, read_raw, unreadable_dates
+
+    head = "date,open,high,low,close,volume,symbol\n"
+    rows = "".join(f"2024-02-{d:02d},1,2,1,2,10,AAA\n" for d in range(1, 29))
+    small, large = tmp_path / "small.csv", tmp_path / "large.csv"
+    small.write_text(head + "2024-01-02,100,100,100,100,1,AAA\n2024-01-02,101,101,101,101,1,AAA\nnever,1,1,1,1,1,AAA\n")
+    large.write_text(head + rows + "2024-01-02,200,200,200,200,1,AAA\n")
+    for first, second, want in ((small, large, 200.0), (large, small, 101.0)):
+        os.utime(first, (1_000_000, 1_000_000))
+        os.utime(second, (2_000_000, 2_000_000))
+        raw = read_raw(spark, [str(large), str(small)], "csv")
+        numbers = sorted(r[0] for r in raw.select("ingest_seq").collect())
+        assert numbers == list(range(32))
+        day = normalise(raw).where("date = DATE '2024-01-02'").first()
+        assert day["close"] == want
+        assert unreadable_dates(raw).count() == 1
+
+
+def test_ticks_keep_negative_and_large_prices(spark):
+    from barloom.sources.ticks import bars_from_ticks
+
+    ticks = spark.createDataFrame(
+        [("A", 1, -5.0), ("A", 2, 7.0), ("B", 1, 2e9), ("B", 2, -3e11), ("C", -4, 1.5), ("C", 3, -2.5)],
+        "symbol string, seq bigint, price double",
+    ).selectExpr("symbol", "TIMESTAMP '2024-01-02 10:00:00' AS ts", "seq", "price", "1.0D AS volume")
+    got = {r["symbol"]: (r["open"], r["high"], r["low"], r["close"]) for r in bars_from_ticks(ticks).collect()}
+    assert got == {"A": (-5, 7, -5, 7), "B": (2e9, 2e9, -3e11, -3e11), "C": (1.5, 1.5, -2.5, -2.5)}
