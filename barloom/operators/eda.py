@@ -40,27 +40,31 @@ def return_statistics(df: DataFrame, r: str = "ret", keys: Sequence[str] = KEYS)
 def return_histogram(
     df: DataFrame, r: str = "ret", bins: int = 80, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Equal-width density histogram per key; empty bins are left out."""
+    """Equal-width density histogram per key; empty bins have a count of 0.
+
+    A key whose values are all equal has them in the first bin, of width 0.
+    """
     span = Window.partitionBy(*keys)
     x = F.col(r)
     ranged = df.where(x.isNotNull()).withColumns(
-        {
-            "__lo": F.min(x).over(span),
-            "__hi": F.max(x).over(span),
-            "__n": F.count(x).over(span),
-        }
+        {"__lo": F.min(x).over(span), "__hi": F.max(x).over(span)}
     )
     width = (F.col("__hi") - F.col("__lo")) / bins
     spot = F.least(F.floor(ratio(x - F.col("__lo"), width)), F.lit(bins - 1))
-    return (
-        ranged.withColumns({"bin": F.coalesce(spot, F.lit(0)).cast("int"), "__w": width})
+    found = (
+        ranged.withColumn("bin", F.coalesce(spot, F.lit(0)).cast("int"))
         .groupBy(*keys, "bin")
-        .agg(
-            F.first(F.col("__lo") + F.col("bin") * F.col("__w")).alias("left_edge"),
-            F.first("__w").alias("width"),
-            F.count(F.lit(1)).alias("count"),
-            (F.count(F.lit(1)) / F.first(F.col("__n") * F.col("__w"))).alias("density"),
-        )
+        .agg(F.count(F.lit(1)).alias("k"), F.first("__lo").alias("lo"), F.first("__hi").alias("hi"))
+    )
+    # one map per key: the counts of at most ``bins`` bins
+    packed = found.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("m"),
+        F.first("lo").alias("lo"), ((F.first("hi") - F.first("lo")) / bins).alias("width"), F.sum("k").alias("n"),
+    )
+    count = F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0).cast("bigint"))
+    return packed.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
+        *keys, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), "width",
+        count.alias("count"), ratio(count, F.col("n") * F.col("width")).alias("density"),
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,26 +26,82 @@ def _vol_label(known: Column) -> Column:
     )
 
 
-def _expanding_cuts(df: DataFrame, keys: Sequence[str], min_periods: int) -> DataFrame:
-    """Quantiles of the volatility seen so far, row by row.
+def _earlier_below(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Add ``earlier`` and ``below``: rows before this one, and those with a smaller value.
 
-    ``percentile`` over a growing frame re-sorts the frame for every row.  The
-    expanding quantile of pandas keeps a sorted structure instead; one symbol
-    with its (bounded) history is one group.
+    Rows of a key are cut into about sqrt(n) blocks twice, by time and by value
+    (equal values share a block).  Whole blocks that lie earlier and lower come
+    from a grid of running counts; the rest is counted inside one time block
+    and inside one value block, so n rows cost n ** 1.5 at most and no row is
+    compared with its whole history.
     """
     keys = list(keys)
+    v, t = F.col(value), F.col("earlier")
+    by_value = Window.partitionBy(*keys).orderBy(value)
+    rows = df.where(v.isNotNull()).withColumns(
+        {
+            "earlier": F.row_number().over(by_date(*keys)) - 1,
+            "__rank": F.rank().over(by_value) - 1,
+            "__block": F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy(*keys)))),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "__t": F.floor(t / F.col("__block")).cast("int"),
+            "__v": F.floor(F.col("__rank") / F.col("__block")).cast("int"),
+        }
+    )
+    cells = rows.groupBy(*keys, "__t", "__v").count()
+    size = cells.groupBy(*keys).agg(F.max("__t").alias("__tn"), F.max("__v").alias("__vn"))
+    grid = (
+        size.withColumn("__t", F.explode(F.sequence(F.lit(0), "__tn")))
+        .withColumn("__v", F.explode(F.sequence(F.lit(0), "__vn")))
+        .drop("__tn", "__vn")
+        .join(cells, [*keys, "__t", "__v"], "left")
+    )
+    ahead = Window.unboundedPreceding, -1
+    over_time = Window.partitionBy(*keys, "__v").orderBy("__t").rowsBetween(*ahead)
+    over_value = Window.partitionBy(*keys, "__t").orderBy("__v").rowsBetween(*ahead)
+    grid = grid.withColumn("__g", F.sum("count").over(over_time)).select(
+        *keys, "__t", "__v", F.coalesce(F.sum("__g").over(over_value), F.lit(0)).alias("__whole")
+    )
+    level = (
+        rows.groupBy(*keys, "__v", "__t", v.alias("x")).count()
+        .groupBy(*keys, "__v")
+        .agg(F.collect_list(F.struct("__t", "x", "count")).alias("__level"))
+    )
+    span = (
+        rows.groupBy(*keys, "__t").agg(F.collect_list(F.struct("earlier", v.alias("x"))).alias("__span"))
+    )
+    in_level = F.aggregate(
+        F.filter("__level", lambda e: (e["__t"] < F.col("__t")) & (e["x"] < v)),
+        F.lit(0).cast("bigint"),
+        lambda a, e: a + e["count"],
+    )
+    in_span = F.size(F.filter("__span", lambda e: (e["earlier"] < t) & (e["x"] < v)))
+    return (
+        rows.join(grid, [*keys, "__t", "__v"])
+        .join(level, [*keys, "__v"])
+        .join(span, [*keys, "__t"])
+        .withColumn("below", F.col("__whole") + in_level + in_span)
+        .drop("__rank", "__block", "__t", "__v", "__whole", "__level", "__span")
+    )
 
-    def cuts(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        seen = group["vol"].astype("float64").expanding(min_periods=min_periods)
-        lower, upper = (seen.quantile(q) for q in _CUTS)
-        return group[[*keys, "date"]].assign(lower=lower, upper=upper)
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(
-        [*(f"{k} {types[k]}" for k in (*keys, "date")), "lower double", "upper double"]
+def _causal_label(df: DataFrame, keys: Sequence[str], min_periods: int) -> DataFrame:
+    """Label each bar by the terciles of its own past, itself included.
+
+    With ``t`` earlier values the terciles lie at positions t/3 and 2t/3 of the
+    sorted past, so the number of smaller values decides on which side of the
+    interpolated cut a value is.
+    """
+    counted = _earlier_below(df, "vol", keys)
+    t, below = F.col("earlier"), F.col("below")
+    label = F.when(
+        t + 1 >= min_periods,
+        F.when(below * 3 > 2 * t, HIGH).when(below * 3 <= t, LOW).otherwise(MEDIUM),
     )
-    found = df.select(*keys, "date", "vol").groupBy(*keys).applyInPandas(cuts, schema)
+    found = counted.select(*keys, "date", label.alias("vol_regime"))
     return df.join(found, [*keys, "date"], "left")
 
 
@@ -66,14 +121,12 @@ def volatility_regime(
     df = df.withColumn("__r", ratio(price, F.lag(price).over(w)) - 1)
     df = df.withColumn("vol", roll(F.stddev_samp, "__r", window, w)).drop("__r")
     if causal:
-        df = _expanding_cuts(df, keys, window * 3)
-        known = F.col("vol").isNotNull() & F.col("lower").isNotNull()
-    else:
-        cuts = F.percentile("vol", F.array(*[F.lit(q) for q in _CUTS]))
-        df = df.withColumn("__cuts", cuts.over(Window.partitionBy(*keys))).withColumns(
-            {"lower": F.col("__cuts")[0], "upper": F.col("__cuts")[1]}
-        ).drop("__cuts")
-        known = F.col("vol").isNotNull()
+        return _causal_label(df, keys, window * 3).drop("vol")
+    cuts = F.percentile("vol", F.array(*[F.lit(q) for q in _CUTS]))
+    df = df.withColumn("__cuts", cuts.over(Window.partitionBy(*keys))).withColumns(
+        {"lower": F.col("__cuts")[0], "upper": F.col("__cuts")[1]}
+    ).drop("__cuts")
+    known = F.col("vol").isNotNull()
     return df.withColumn("vol_regime", _vol_label(known)).drop("vol", "lower", "upper")
 
 

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.durable import checkpointed
 from barloom.functions.windows import KEYS, by_date, linspace_edges
 from barloom.operators.backtest import run_backtest
 from barloom.operators.evaluate import REGRESSION, regression_metrics
@@ -44,7 +45,8 @@ def with_folds(
 
     ``trains`` lists the folds whose training set holds the row.  The edges are
     arithmetic on the row's position, so there is no fold table to join.
-    Symbols without enough rows for every fold are left out.
+    Symbols without enough rows for every fold are left out; ``skipped`` lists
+    them.
     """
     check_folds(n_folds, mode, min_train)
     numbered = df.withColumns(
@@ -71,17 +73,30 @@ def with_folds(
     )
 
 
+def skipped(
+    df: DataFrame, n_folds: int = 5, min_train: int = 500, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Symbols too short for the folds, with their rows and the rows needed."""
+    need = F.lit(min_train + n_folds).cast("bigint")
+    return (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("needed", need)
+        .where(F.col("n_rows") < F.col("needed"))
+    )
+
+
 def with_date_folds(
     df: DataFrame, n_folds: int = 5, mode: str = "expanding", min_train: int = 500
 ) -> DataFrame:
     """Folds over the distinct dates of all symbols together.
 
-    The date table holds one row per calendar day, a few ten thousand at most,
-    which bounds both its single window partition and its broadcast.
+    The date table holds one row per bar interval of the calendar: ten thousand
+    for forty years of days, some hundred thousand for hours.  That bounds its
+    single window partition; the optimiser decides how it is joined.
     """
     dates = df.select("date").distinct().withColumn("__panel", F.lit(0))
     folds = with_folds(dates, n_folds, mode, min_train, ["__panel"]).drop("__panel")
-    return df.join(F.broadcast(folds), "date")
+    return df.join(folds, "date")
 
 
 def make_folds(
@@ -151,7 +166,8 @@ def walk_forward_linear(
 
     Every symbol and fold is fitted in the same pass over the data.
     """
-    rows = with_folds(data, n_folds, mode, min_train, keys)
+    # read twice: for the moments and for the rows that are tested
+    rows = checkpointed(with_folds(data, n_folds, mode, min_train, keys))
     sums = _fold_moments(rows, features, mode, keys)
     fitted = solve_groups(sums, features, [*keys, "fold"], alpha)
     tested = rows.where(F.col("fold") > 0).drop("trains")

@@ -1342,6 +1342,19 @@ def fold_table_rolling(spark, sf):
     return walkforward.make_folds(_dataset(spark, sf), mode="rolling")
 
 
+@query(
+    "fold_skipped",
+    with_sql(
+        _DATA,
+        """SELECT symbol, split, count(*) AS n_rows, 505::BIGINT AS needed FROM data
+GROUP BY symbol, split HAVING count(*) < 505""",
+    ),
+)
+def fold_skipped(spark, sf):
+    """Symbol and part as series of their own: the short parts cannot be folded."""
+    return walkforward.skipped(_dataset(spark, sf), keys=("symbol", "split"))
+
+
 # -------------------------------------------------------------- evaluation
 
 _LAGGED = f"""{_DATA},
@@ -1723,15 +1736,18 @@ spans AS (
 binned AS (
   SELECT symbol, lo, n, width, CAST(least(floor((ret - lo) / width), 79) AS INTEGER) AS bin
   FROM moves JOIN spans USING (symbol) WHERE ret IS NOT NULL)""",
-        f"""SELECT symbol, bin, {rounded('min(lo + bin * width)', 'left_edge')},
-  {rounded('min(width)', 'width', 8)}, count(*) AS count,
-  {rounded('count(*) / min(n * width)', 'density')} FROM binned GROUP BY symbol, bin""",
+        f"""SELECT symbol, CAST(g.bin AS INTEGER) AS bin, {rounded('min(lo + g.bin * width)', 'left_edge')},
+  {rounded('min(width)', 'width', 8)}, count(b.bin) AS count,
+  {rounded('count(b.bin) / min(s.n * s.width)', 'density')}
+FROM spans s CROSS JOIN range(80) g(bin)
+LEFT JOIN (SELECT symbol, bin FROM binned) b USING (symbol, bin) GROUP BY symbol, g.bin""",
     ),
 )
 def return_histogram(spark, sf):
     out = eda.return_histogram(_moves(spark, sf))
-    return tidy(out.drop("width")).join(
-        tidy(out.select("symbol", "bin", "width"), 8), ["symbol", "bin"]
+    return out.select(
+        "symbol", "bin", "count",
+        *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("left_edge", 6), ("width", 8), ("density", 6))],
     )
 
 
