@@ -965,8 +965,8 @@ def performance_summary(spark, sf):
     return tidy(metrics.performance_summary(_result(spark, sf), position="position"))
 
 
-def _comparison_sql() -> str:
-    both = f"""{_BT},
+def _comparison_sql(bt: str) -> str:
+    both = f"""{bt},
 stacked AS (
   SELECT symbol, date, 'strategy' AS series, strategy_return AS r, position FROM bt
   UNION ALL SELECT symbol, date, 'buy_and_hold', asset_return, NULL FROM bt),
@@ -987,7 +987,7 @@ comparison AS (
   FROM tall GROUP BY symbol, metric)"""
 
 
-_COMPARISON = _comparison_sql()
+_COMPARISON = _comparison_sql(_BT)
 
 
 @query(
@@ -1488,9 +1488,42 @@ def overfit_flag(spark, sf):
 
 # ------------------------------------------------------------------ models
 #
-# Fits have no SQL counterpart; tests check them against closed forms.
+# Ridge fits are solved again in SQL; for trees and logistic fits what is
+# determined without the fit is compared, and tests cover the rest.
 
 _PREDICTED = ("symbol", "date", "split", "target", "prediction")
+_PREDICTIONS = f"SELECT symbol, date, split, {num('target', 'prediction')} FROM predicted"
+_RIDGE = f"""{_DATA},
+train AS (SELECT * FROM data WHERE split = 'train'),
+{sql.ridge('train', 'symbol', FEATURES, 1.0)},
+predicted AS (
+  SELECT symbol, date, split, target, {sql.fitted(FEATURES)} AS prediction
+  FROM data JOIN coefs USING (symbol))"""
+_POOLED_RIDGE = f"""{_DATA},
+pooled AS (SELECT *, 0 AS pool FROM data),
+train AS (SELECT * FROM pooled WHERE split = 'train'),
+{sql.ridge('train', 'pool', FEATURES, 1.0)},
+predicted AS (
+  SELECT symbol, date, split, target, {sql.fitted(FEATURES)} AS prediction
+  FROM pooled JOIN coefs USING (pool))"""
+_WEIGHTS = (
+    "(SELECT {keys}, unnest([" + ", ".join(f"'{c}'" for c in FEATURES) + "]) AS feature, "
+    "unnest(weight) / list_sum(weight) AS importance FROM coefs)"
+)
+_WALKED = f"""{_folds_sql('expanding')},
+numbered_rows AS MATERIALIZED (
+  SELECT d.*, s.pos, e.fold, e.lo, e.hi FROM data d JOIN spaced s USING (symbol, date)
+  JOIN edges e USING (symbol) WHERE s.pos < e.hi),
+train AS (SELECT * FROM numbered_rows WHERE pos < lo),
+{sql.ridge('train', 'symbol, fold', FEATURES, 1.0)},
+walked AS MATERIALIZED (
+  SELECT symbol, date, fold, close, target, target AS t, {sql.fitted(FEATURES)} AS prediction,
+         {sql.fitted(FEATURES)} AS p
+  FROM numbered_rows JOIN coefs USING (symbol, fold) WHERE pos >= lo)"""
+_WALK = f"""{_WALKED},
+{sql.regression_record('walked', 'symbol, fold')},
+fold_rows AS (SELECT * FROM folds JOIN reg USING (symbol, fold))"""
+_FOLD_METRICS = ("n_train", "n_test", *sql.REG_NUMBERS)
 
 
 def _fitted(spark, sf, name, **params):
@@ -1499,21 +1532,22 @@ def _fitted(spark, sf, name, **params):
 
 
 def _model_query(name: str, model: str) -> None:
-    @query(name)
+    @query(name, with_sql(_POOLED_RIDGE, _PREDICTIONS) if model == "ridge" else None)
     def predictions(spark, sf):
         _, trained = _fitted(spark, sf, model)
-        return trained.predictions.select(*_PREDICTED)
+        return tidy(trained.predictions.select(*_PREDICTED))
 
 
 for _name in models.MODELS:
     _model_query(f"model_{_name}", _name)
 
 
-@query("model_ridge_per_symbol")
+@query("model_ridge_per_symbol", with_sql(_RIDGE, _PREDICTIONS))
 def model_ridge_per_symbol(spark, sf):
-    data = _dataset(spark, sf)
+    # read twice: by the fit and by the prediction
+    data = study.checkpointed(_dataset(spark, sf))
     fitted = fit_linear(data.where("split = 'train'"), FEATURES, alpha=1.0)
-    return predict_linear(data, fitted, FEATURES).select(*_PREDICTED)
+    return tidy(predict_linear(data, fitted, FEATURES).select(*_PREDICTED))
 
 
 @query("model_logistic")
@@ -1525,17 +1559,27 @@ def model_logistic(spark, sf):
     return models.predict(model, data).select(*_PREDICTED, "probability")
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    with_sql(_RIDGE, f"SELECT symbol, feature, {num('importance')} FROM {_WEIGHTS.format(keys='symbol')}"),
+)
 def feature_importance(spark, sf):
-    data = _dataset(spark, sf)
-    fitted = fit_linear(data.where("split = 'train'"), FEATURES, alpha=1.0)
-    return linear_importance(fitted, FEATURES)
+    train = _dataset(spark, sf).where("split = 'train'")
+    return tidy(linear_importance(fit_linear(train, FEATURES, alpha=1.0), FEATURES))
 
 
-@query("model_metrics")
+@query(
+    "model_metrics",
+    with_sql(
+        f"""{_POOLED_RIDGE},
+walked AS (SELECT symbol, split, target AS t, prediction AS p FROM predicted),
+{sql.regression_record('walked', 'symbol, split')}""",
+        f"SELECT symbol, split, n, {num(*sql.REG_NUMBERS)} FROM reg",
+    ),
+)
 def model_metrics(spark, sf):
     _, trained = _fitted(spark, sf, "ridge")
-    return study.model_metrics(trained.predictions, SPEC)
+    return tidy(study.model_metrics(trained.predictions, SPEC))
 
 
 @query("model_compare")
@@ -1550,37 +1594,175 @@ def best_models(spark, sf):
     return eda.best_models(study.compare_models(data, SPEC))
 
 
-@query("walk_forward")
+@query(
+    "walk_forward",
+    with_sql(_WALK, f"SELECT symbol, date, fold, {num('target', 'prediction')} FROM walked"),
+)
 def walk_forward(spark, sf):
     out, _ = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
-    return out.select("symbol", "date", "fold", "target", "prediction")
+    return tidy(out.select("symbol", "date", "fold", "target", "prediction"))
 
 
-@query("walk_forward_stability")
-def walk_forward_stability(spark, sf):
-    data = _dataset(spark, sf)
+@query(
+    "walk_forward_overall",
+    with_sql(
+        f"{_WALKED},\n{sql.regression_record('walked', 'symbol')}",
+        f"SELECT symbol, n, {num(*sql.REG_NUMBERS)} FROM reg",
+    ),
+)
+def walk_forward_overall(spark, sf):
+    out, _ = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
+    return tidy(walkforward.overall_metrics(out))
+
+
+def _walked_folds(spark, sf):
+    data = study.checkpointed(_dataset(spark, sf))
     out, _ = walkforward.walk_forward(data, FEATURES, "ridge")
-    return walkforward.stability(walkforward.fold_table(out, walkforward.make_folds(data)))
+    return walkforward.fold_table(out, walkforward.make_folds(data))
 
 
-@query("walk_forward_spread")
+@query(
+    "walk_forward_stability",
+    with_sql(
+        f"""{_WALK},
+tall AS ({" UNION ALL ".join(
+    f"SELECT symbol, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM fold_rows" for m in _FOLD_METRICS)})""",
+        f"""SELECT symbol, metric, {rounded('avg(value)', 'mean')}, {rounded('stddev_samp(value)', 'std')},
+  {rounded('min(value)', 'min')}, {rounded('max(value)', 'max')} FROM tall GROUP BY symbol, metric""",
+    ),
+)
+def walk_forward_stability(spark, sf):
+    return tidy(walkforward.stability(_walked_folds(spark, sf)))
+
+
+@query(
+    "walk_forward_spread",
+    with_sql(
+        _WALK,
+        f"""SELECT symbol, {rounded('avg(directional_accuracy)', 'mean')},
+  {rounded('max(directional_accuracy) - min(directional_accuracy)', 'spread')},
+  max(directional_accuracy) - min(directional_accuracy) > 0.10 AS unstable FROM fold_rows GROUP BY symbol""",
+    ),
+)
 def walk_forward_spread(spark, sf):
-    data = _dataset(spark, sf)
-    out, _ = walkforward.walk_forward(data, FEATURES, "ridge")
-    return eda.fold_spread(walkforward.fold_table(out, walkforward.make_folds(data)))
+    return tidy(eda.fold_spread(_walked_folds(spark, sf)))
 
 
-@query("walk_forward_importance")
+@query(
+    "walk_forward_importance",
+    with_sql(
+        _WALK,
+        f"""SELECT symbol, feature, {rounded('avg(importance)', 'importance')}
+FROM {_WEIGHTS.format(keys='symbol, fold')} GROUP BY symbol, feature""",
+    ),
+)
 def walk_forward_importance(spark, sf):
     _, importance = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
-    return walkforward.average_importance(importance)
+    return tidy(walkforward.average_importance(importance))
 
 
-@query("walk_forward_backtest")
+@query(
+    "walk_forward_backtest",
+    with_sql(
+        _comparison_sql(
+            f"""{_WALKED},
+stitched AS (
+  SELECT *, coalesce(close / lag(close) OVER ({sql.SERIES}) - 1, 0) AS asset_return FROM walked),
+{sql.backtest('stitched', short=False)}"""
+        ),
+        "SELECT symbol, metric, "
+        + ", ".join(rounded(f"sign({c}) * ln(1 + abs({c}))", c) for c in ("strategy", "buy_and_hold", "difference"))
+        + " FROM comparison",
+    ),
+)
 def walk_forward_backtest(spark, sf):
+    """On a logarithmic scale: without costs of scale the returns here reach 1e16."""
     out, _ = walkforward.walk_forward(_dataset(spark, sf), FEATURES, "ridge")
-    result = walkforward.walk_forward_backtest(out)
-    return metrics.compare_to_benchmark(result)
+    table = metrics.compare_to_benchmark(walkforward.walk_forward_backtest(out))
+    scaled = {
+        c: F.signum(c) * F.log1p(F.abs(F.col(c))) for c in ("strategy", "buy_and_hold", "difference")
+    }
+    return tidy(table.withColumns(scaled))
+
+
+def _range_sql(source: str) -> str:
+    return f"""{_DATA},
+labelled AS ({source}),
+bounds AS (SELECT min(target) AS lo, max(target) AS hi FROM labelled WHERE split = 'train')"""
+
+
+def _fit_check(name: str, fit, source: str, inside: str) -> None:
+    """A query on what is determined without the fit: rows, targets, and that all
+    predictions are known and lie where the model can put them."""
+
+    @query(
+        name,
+        with_sql(
+            _range_sql(source),
+            f"""SELECT symbol, split, count(*) AS n, {rounded('avg(target)', 'mean_target')},
+  count(*) AS n_inside, count(*) AS n_known FROM labelled GROUP BY symbol, split""",
+        ),
+    )
+    def check(spark, sf):
+        out = fit(spark, sf)
+        train = F.when(F.col("split") == "train", F.col("target"))
+        lo, hi = out.agg(F.min(train), F.max(train)).first()
+        p = F.col("prediction")
+        fits = F.expr(inside.format(lo=repr(lo), hi=repr(hi)))
+        return tidy(
+            out.groupBy("symbol", "split").agg(
+                F.count(F.lit(1)).alias("n"), F.avg("target").alias("mean_target"),
+                F.count_if(fits).alias("n_inside"), F.count_if(p.isNotNull() & ~F.isnan(p)).alias("n_known"),
+            )
+        )
+
+
+_REGRESSED = "SELECT symbol, date, split, target FROM data"
+_CLASSED = "SELECT symbol, date, split, CAST(target > 0 AS DOUBLE) AS target FROM data"
+
+
+def _classified(name: str):
+    def fit(spark, sf):
+        data = study.checkpointed(_dataset(spark, sf, "classification"))
+        model = models.fit_model(data.where("split = 'train'"), FEATURES, name, task="classification")
+        return models.predict(model, data)
+
+    return fit
+
+
+# A forest averages training targets, so it cannot leave their range.
+_fit_check(
+    "model_forest_range", lambda spark, sf: _fitted(spark, sf, "random_forest")[1].predictions, _REGRESSED,
+    "prediction BETWEEN {lo}D AND {hi}D",
+)
+_fit_check(
+    "model_boosted_known", lambda spark, sf: _fitted(spark, sf, "boosted")[1].predictions, _REGRESSED,
+    "abs(prediction) < 1",
+)
+for _name in ("linear", "random_forest", "boosted"):
+    _fit_check(
+        f"model_{_name}_classes", _classified(_name), _CLASSED,
+        "prediction IN (0.0D, 1.0D) AND (prediction = 1.0D) = (probability > 0.5D)",
+    )
+
+
+@query(
+    "model_importance_sums",
+    with_sql(
+        "names AS (SELECT unnest(['random_forest', 'boosted', 'ridge']) AS model)",
+        f"SELECT model, {len(FEATURES)}::BIGINT AS n_features, 1.0::DOUBLE AS total FROM names",
+    ),
+)
+def model_importance_sums(spark, sf):
+    """Importance covers every feature and sums to one, whatever the fit."""
+    data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
+    out = None
+    for name in ("random_forest", "boosted", "ridge"):
+        part = study.train(data, SPEC, name).importance.agg(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total")
+        )
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
 
 
 @query("sweep_seed")

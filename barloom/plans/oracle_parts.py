@@ -417,5 +417,51 @@ REG_NUMBERS = (
 )
 
 
+def ridge(train: str, keys: str, names: list[str], alpha: float) -> str:
+    """``coefs``: a ridge fit per key, by Gauss-Jordan elimination over list rows.
+
+    ``train`` has the keys, the features and ``target``.  Inputs are scaled by
+    their mean and population deviation in the group.
+    """
+    n = len(names)
+    both = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    a_keys = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"""packed AS MATERIALIZED (
+  SELECT {keys}, row_number() OVER () AS rid, [{', '.join(f'CAST({c} AS DOUBLE)' for c in names)}] AS x,
+         target AS y FROM {train}),
+long AS MATERIALIZED (
+  SELECT {keys}, rid, y, unnest(range(1, {n + 1})) AS i, unnest(x) AS v FROM packed),
+scales AS MATERIALIZED (
+  SELECT {keys}, i, avg(v) AS mu, avg(y) AS mu_y,
+         CASE WHEN sqrt(var_pop(v)) > abs(avg(v)) * 1e-7 THEN sqrt(var_pop(v)) ELSE 1 END AS sd
+  FROM long GROUP BY {keys}, i),
+z AS MATERIALIZED (
+  SELECT {keys}, rid, i, (v - mu) / sd AS z, y - mu_y AS yc FROM long JOIN scales USING ({keys}, i)),
+cells AS (
+  SELECT {a_keys}, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN {alpha} ELSE 0 END AS c
+  FROM z a JOIN z b ON {both} AND a.rid = b.rid GROUP BY {a_keys}, a.i, b.i
+  UNION ALL SELECT {keys}, i, {n + 1}, sum(z * yc) FROM z GROUP BY {keys}, i),
+matrix AS MATERIALIZED (SELECT {keys}, i, list(c ORDER BY j) AS r FROM cells GROUP BY {keys}, i),
+gj AS (
+  SELECT {keys}, 0 AS step, list(r ORDER BY i) AS m FROM matrix GROUP BY {keys}
+  UNION ALL
+  SELECT {keys}, step + 1, list_transform(m, lambda r, i: CASE WHEN i = step + 1
+      THEN list_transform(r, lambda v: v / m[step + 1][step + 1])
+      ELSE list_transform(r, lambda v, j: v - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END)
+  FROM gj WHERE step < {n}),
+betas AS MATERIALIZED (
+  SELECT {keys}, unnest(range(1, {n + 1})) AS i, unnest(list_transform(m, lambda r: r[{n + 1}])) AS beta
+  FROM gj WHERE step = {n}),
+coefs AS MATERIALIZED (
+  SELECT {keys}, list(beta / sd ORDER BY i) AS coef, list(abs(beta) ORDER BY i) AS weight,
+         any_value(mu_y) - sum(mu * beta / sd) AS intercept
+  FROM betas JOIN scales USING ({keys}, i) GROUP BY {keys})"""
+
+
+def fitted(names: list[str]) -> str:
+    """The prediction of ``coefs`` for a row with the features."""
+    return f"intercept + list_dot_product(coef, [{', '.join(f'CAST({c} AS DOUBLE)' for c in names)}])"
+
+
 def with_sql(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
