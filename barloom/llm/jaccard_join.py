@@ -2,9 +2,10 @@
 
 Reports whose sets of word shingles are equal form one class.  Classes that can
 have a partner at all, because enough of their shingles occur in another class,
-are found with one exchange of packed shingles.  For these, short inverted
-lists (a prefix of the rarest shingles) propose groups of candidates, and
-``divide_skip`` counts each candidate's occurrences in the lists of a query.
+are found with one exchange of packed shingles.  For these, the inverted lists
+of a prefix of their rarest shingles join all possible partners into families.
+A family is searched in bounded groups: every report is a query against the
+inverted lists of its group, and ``divide_skip`` counts occurrences.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_view, runs_of, slices, stored, word_hashes
+from barloom.llm.common import byte_view, narrowed, runs_of, slices, stored, word_hashes
 from barloom.llm.components import components
 
 #: Words of a shingle and the similarity, in percent, at which two reports link.
@@ -28,14 +29,12 @@ WORDS, PERCENT = 5, 80
 #: Shingles packed by a task before it deals them out, and wanted in one range.
 BLOCK, RANGE = 1 << 21, 1 << 22
 
-#: Common shingles that go to the end of the order; it changes costs, never results.
-COMMON = 1 << 16
+#: Reports from which a shingle is common, and how many common shingles are known: they
+#: go to the end of the order, the commonest last.  It changes costs, never results.
+OFTEN, COMMON = 6, 1 << 17
 
-#: Candidates searched together for one query.
-GROUP = 256
-
-#: Rounds in which every report is tried against one other per list, before all pairs left.
-ROUNDS = 3
+#: Reports and shingles of a group, and reports of a large family that all its groups share.
+GROUP, GROUP_SHINGLES, SHARED = 512, 1 << 21, 32
 
 #: Share of the cost of probing one list to that of merging one entry.
 DIVIDE = 0.0085
@@ -85,7 +84,8 @@ def _packer(ranges: int):
     block itself counts it for them.
     """
     schema = pa.schema(
-        [("range", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("classes", pa.binary())]
+        [("block", pa.int64()), ("range", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()),
+         ("classes", pa.binary())]
     )
 
     def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -93,14 +93,16 @@ def _packer(ranges: int):
         lengths = np.fromiter(map(len, sets.values()), np.int64, len(sets))
         tokens = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(marks)), lengths)
-        order = np.argsort(tokens)
-        tokens, owner = tokens[order], owner[order]
+        # 48 bits of each shingle stand for it here; one plain sort orders both
+        both = tokens >> np.uint64(16) << np.uint64(16) | owner.astype(np.uint64)
+        both.sort()
+        tokens, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         count = np.diff(np.append(head, len(tokens)))
         local = np.bincount(owner[np.repeat(count > 1, count)], minlength=len(marks))
         owner = np.where(count > 1, _MANY, owner[head])
         tokens = tokens[head]
-        place = (tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        place = (tokens >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         rows: list[tuple] = []
         for lo, hi in zip(cuts, [*cuts[1:], len(place)]):
@@ -109,13 +111,13 @@ def _packer(ranges: int):
             names = np.where(used == _MANY, 0, marks[np.minimum(used, len(marks) - 1)])
             index = np.where(own == _MANY, _MANY, index)
             rows.append((
-                int(place[lo]), tokens[lo:hi].astype("<u4").tobytes(), index.astype("<u2").tobytes(),
+                int(marks[0]), int(place[lo]), tokens[lo:hi].astype("<u4").tobytes(), index.astype("<u2").tobytes(),
                 names.astype("<i8").tobytes(),
             ))
         some = np.flatnonzero(local)
         # what a block has counted itself: one row, dealt out by a number of its own
         rows.append((
-            -1 - int(marks[0]) % ranges, b"", local[some].astype("<i8").tobytes(), marks[some].astype("<i8").tobytes()
+            int(marks[0]), -1 - int(marks[0]) % ranges, b"", local[some].astype("<i8").tobytes(), marks[some].astype("<i8").tobytes()
         ))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -138,13 +140,13 @@ def _packer(ranges: int):
 
 
 def _count_shared(key: tuple, rows: pa.Table) -> pa.Table:
-    """How many shingles of each class, in one range, occur in another class too."""
+    """For each block: how many shingles of its classes, in one range, another class has too."""
     classes = [np.frombuffer(x, "<i8") for x in rows.column("classes").to_pylist()]
     owners = rows.column("owners").to_pylist()
     if key[0].as_py() < 0:
-        marks = np.concatenate(classes)
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in owners])
+        out = list(zip(classes, (np.frombuffer(x, "<i8") for x in owners)))
     else:
+        sizes = [len(x) // 4 for x in rows.column("tokens").to_pylist()]
         tokens = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("tokens").to_pylist()])
         marks, number = np.unique(np.concatenate(classes), return_inverse=True)
         parts, at = [], 0
@@ -153,15 +155,34 @@ def _count_shared(key: tuple, rows: pa.Table) -> pa.Table:
             many = index == _MANY
             parts.append(np.where(many, len(marks), number[at : at + len(names)][np.where(many, 0, index)]))
             at += len(names)
-        entries = np.unique(tokens.astype(np.uint64) << np.uint64(32) | np.concatenate(parts).astype(np.uint64))
-        token, owner = entries >> np.uint64(32), (entries & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(head, len(token)))
-        weight = np.add.reduceat(np.where(owner == len(marks), 2, 1), head)
-        shared = np.repeat(weight > 1, size) & (owner < len(marks))
-        counts = np.bincount(owner[shared], minlength=len(marks))
-        marks, counts = marks[counts > 0], counts[counts > 0]
-    return pa.table({"mark": pa.array(marks, pa.int64()), "shared": pa.array(counts, pa.int64())})
+        owner = np.concatenate(parts)
+        entries = tokens.astype(np.uint64) << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64)
+        entries.sort()
+        back = (entries & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], (entries[1:] ^ entries[:-1]) >> np.uint64(32) > 0]))
+        ordered = owner[back]
+        several = np.minimum.reduceat(ordered, head) != np.maximum.reduceat(ordered, head)
+        shared = np.zeros(len(tokens), bool)
+        shared[back] = np.repeat(several, np.diff(np.append(head, len(entries))))
+        shared &= owner < len(marks)
+        out, at = [], 0
+        for n in sizes:
+            number, count = np.unique(owner[at : at + n][shared[at : at + n]], return_counts=True)
+            out.append((marks[number], count))
+            at += n
+    return pa.table({
+        "block": rows.column("block"),
+        "marks": pa.array([m.astype("<i8").tobytes() for m, _ in out], pa.binary()),
+        "counts": pa.array([c.astype("<i8").tobytes() for _, c in out], pa.binary()),
+    })
+
+
+def _sum_blocks(rows: pa.Table) -> pa.Table:
+    marks = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("marks").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("counts").to_pylist()])
+    distinct, at = np.unique(marks, return_inverse=True)
+    total = np.bincount(at, counts, len(distinct)).astype(np.int64)
+    return pa.table({"mark": pa.array(distinct, pa.int64()), "shared": pa.array(total, pa.int64())})
 
 
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,53 +199,55 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        if sets:
-            token, count = np.unique(np.concatenate(sets), return_counts=True)
-            some = count > 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[some]), pa.array(count[some].astype(np.int64))], ["token", "n"]
-            )
-
-
 def needed(nx, ny, percent: int = PERCENT):
     """Common shingles that two sets of these sizes need to link."""
     return -(-percent * (nx + ny) // (100 + percent))
 
 
-def divide_skip(
-    query: np.ndarray, members: list[np.ndarray], percent: int = PERCENT
-) -> list[tuple[int, int]]:
-    """``(member, occurrences)`` of all members that share enough shingles with the query.
+class Lists:
+    """Inverted lists over the members of a group."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.lengths = np.fromiter(map(len, members), np.int64, len(members))
+        tokens = np.concatenate(members)
+        owner = np.repeat(np.arange(len(members)), self.lengths)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        head = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        self.tokens = tokens[head]
+        self.ends = np.append(head, len(tokens))
+        self.owner = owner.tolist()
+
+    def of(self, query: np.ndarray) -> list[list[int]]:
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        return [self.owner[lo:hi] for lo, hi in zip(self.ends[at].tolist(), self.ends[at + 1].tolist())]
+
 
-    The lists of the query's shingles over the members are divided: the longest
-    are set aside, the short ones are merged through a heap, and members that
-    can still reach their number are looked up in the long ones by binary search.
+def divide_skip(query: np.ndarray, lists: Lists, percent: int = PERCENT, skip=None) -> list[tuple[int, int]]:
+    """``(member, occurrences)`` of the members that share enough shingles with the query.
+
+    The lists of the query's shingles are divided: the longest are set aside,
+    the short ones are merged through a heap, and members that can still reach
+    their number are looked up in the long ones by binary search.  Members for
+    which ``skip`` is true are not looked up.
     """
-    lengths = np.fromiter(map(len, members), np.int64, len(members))
-    tokens = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), lengths)
-    at = np.minimum(np.searchsorted(query, tokens), len(query) - 1)
-    hit = query[at] == tokens
-    at, owner = at[hit], owner[hit]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    size = np.bincount(at, minlength=len(query))
-    lists = [x.tolist() for x in np.split(owner, np.cumsum(size)[:-1])]
-    need = needed(len(query), lengths, percent)
+    own = sorted(lists.of(query), key=len)
+    if not own:
+        return []
+    need = needed(len(query), lists.lengths, percent)
+    # lists of the query's other shingles are empty; they count as merged
     least = int(need.min())
-    longest = max(int(size.max()), 2)
-    aside = min(least - 1, int(least / (DIVIDE * math.log2(longest) + 1)))
-    ranked = np.argsort(-size, kind="stable")
-    long = [lists[i] for i in ranked[:aside]]
+    aside = min(least - 1, int(least / (DIVIDE * math.log2(max(len(own[-1]), 2)) + 1)), len(own))
+    short, long = own[: len(own) - aside], own[len(own) - aside :]
     counts: dict[int, int] = {}
-    for m in heapq.merge(*(lists[i] for i in ranked[aside:] if lists[i])):
+    for m in heapq.merge(*short):
         counts[m] = counts.get(m, 0) + 1
     out = []
-    for m in range(len(members)) if aside >= least else counts:
-        n, left, goal = counts.get(m, 0), len(long), int(need[m])
+    for m, n in counts.items():
+        left, goal = len(long), int(need[m])
+        if n + left < goal or (skip is not None and skip(m)):
+            continue
         for entries in long:
             if n + left < goal:
                 break
@@ -237,57 +260,62 @@ def divide_skip(
 
 
 def _search(rows: pa.Table) -> pa.Table:
-    """One query and a group of its candidates: the links among them."""
-    is_query = rows.column("is_query").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    ids = rows.column("report_id").to_pylist()
-    query = next((i for i, q in enumerate(is_query) if q), None)
-    members = [i for i, q in enumerate(is_query) if not q]
-    found = divide_skip(sets[query], [sets[i] for i in members]) if query is not None and members else []
-    return pa.table({
-        "a": pa.array([ids[query] for _ in found], pa.int64()),
-        "b": pa.array([ids[members[m]] for m, _ in found], pa.int64()),
-    })
-
-
-def links(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the candidate ``(query, member)`` pairs that link, as ``(a, b)``."""
-    pairs = stored(pairs.distinct())
-    sizes = stored(pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")))
-    dealt = stored(
-        pairs.join(sizes, "query").select(
-            "query", "member", F.pmod(F.xxhash64("member"), "groups").alias("part")
-        )
-    )
-    members = dealt.join(held, dealt.member == held.report_id).select(
-        "query", "part", "report_id", "shingles", F.lit(False).alias("is_query")
-    )
-    asked = dealt.select("query", "part").distinct()
-    queries = asked.join(held, asked.query == held.report_id).select(
-        "query", "part", "report_id", "shingles", F.lit(True).alias("is_query")
-    )
-    return stored(
-        members.unionByName(queries).groupBy("query", "part").applyInArrow(_search, "a bigint, b bigint")
-    )
-
+    """Links that join the reports of one group, as far as they are not joined yet.
 
-def _prefixes(order, percent: int):
-    """The rarest shingles of each set: any two sets that link share one of them."""
+    Without ``asks`` rows every report asks the lists of the others.
+    """
+    merged: dict[int, int] = {}
+    raw, root, asks = {}, {}, set()
+    for i, x, c, a in zip(*(rows.column(k).to_pylist() for k in ("report_id", "shingles", "component", "asks"))):
+        raw[i], root[i] = np.frombuffer(x, np.uint64), c
+        if a:
+            asks.add(i)
+
+    def find(c: int) -> int:
+        while c in merged:
+            c = merged[c]
+        return c
+
+    ids = sorted(raw)
+    lists = Lists([raw[i] for i in ids])
+    found = []
+    for i in sorted(asks) or ids:
+        for m, _ in divide_skip(raw[i], lists, skip=lambda m: find(root[ids[m]]) == find(root[i])):
+            a, b = find(root[i]), find(root[ids[m]])
+            if a != b:
+                merged[max(a, b)] = min(a, b)
+                found.append((root[i], root[ids[m]]))
+    return pa.table({k: pa.array([x[j] for x in found], pa.int64()) for j, k in enumerate("ab")})
+
+
+def links(held: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between components, from groups ``(family, part, other, report_id, component, asks)``."""
+    rows = stored(groups).join(held.select("report_id", "shingles"), "report_id")
+    return stored(rows.groupBy("family", "part", "other").applyInArrow(_search, "a bigint, b bigint"))
+
+
+def _prefixes(order, percent: int, times: int = 1):
+    """The rarest shingles of each set: any two sets that link share one of them.
+
+    ``order`` has the common shingles, sorted, from the commonest on in
+    ``order.value[1]``; they come last.  ``times`` takes a multiple.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = order.value
+        common, often = order.value
         for batch in batches:
             ids = batch.column("report_id").to_pylist()
             tokens, owner, sizes = [], [], []
             for i, raw in zip(ids, batch.column("shingles").to_pylist()):
                 s = np.frombuffer(raw, np.int64)
-                take = len(s) - -(-percent * len(s) // 100) + 1
+                take = min(len(s), times * (len(s) - -(-percent * len(s) // 100) + 1))
                 if len(common):
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    count = np.where(common[at] == s, often[at], 0)
+                    s = s[np.argsort(count, kind="stable")]
                 tokens.append(s[:take])
                 owner.append(np.full(take, i))
-                sizes.append(np.full(take, len(raw) // 8))
+                sizes.append(np.full(take, len(s)))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, owner, sizes)],
@@ -297,10 +325,96 @@ def _prefixes(order, percent: int):
     return emit
 
 
-def near_duplicates(reports: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _relabel(belongs: DataFrame, found: DataFrame) -> DataFrame:
+    merged = components(found)
+    return stored(
+        belongs.join(merged, belongs.component == merged.node, "left")
+        .withColumn("component", F.coalesce("root", "component"))
+        .drop("node", "root")
+    )
+
+
+def _parts(families: DataFrame, size) -> DataFrame:
+    """Families dealt over bounded parts; reports with the same smallest shingle stay together."""
+    wanted = stored(families.groupBy("family").agg(size.alias("parts")))
+    near = stored(
+        families.join(wanted, "family").withColumn("near", F.pmod(F.xxhash64("least"), "parts"))
+    )
+    crowds = stored(near.groupBy("family", "near").agg(size.alias("splits")))
+    return stored(
+        near.join(crowds, ["family", "near"]).select(
+            "family", "report_id", "n", F.col("report_id").alias("component"),
+            (F.col("parts") > 1).alias("dealt"),
+            F.xxhash64("near", F.pmod(F.xxhash64("report_id"), "splits")).alias("part"),
+        )
+    )
+
+
+def _link_families(held: DataFrame, lists: DataFrame, families: DataFrame) -> DataFrame:
+    """``(report_id, component)`` of the reports of families ``(report_id, n, least, family)``.
+
+    A family that fits one part is searched there, all pairs at once.  Larger
+    ones are dealt over parts that share some reports; what is joined in the
+    parts is joined.  Then each report outside the family's largest component
+    asks the other parts in which a report of another component has one of its
+    rare shingles; of two asking parts, the one asks the other.
+    """
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES))
+    belongs = _parts(families, size)
+    common = (
+        belongs.where("dealt")
+        .groupBy("family", F.pmod(F.xxhash64("report_id", F.lit(1)), F.lit(SHARED)).alias("k"))
+        .agg(F.min("report_id").alias("report_id"))
+        .join(belongs.where("dealt").select("family", "part").distinct(), "family")
+    )
+    columns = ["family", "part", F.lit(0).cast("bigint").alias("other"), "report_id"]
+    first = belongs.select(*columns).unionByName(common.select(*columns))
+    found = links(
+        held, first.withColumn("component", F.col("report_id")).withColumn("asks", F.lit(False))
+    )
+    belongs = _relabel(belongs, found)
+    kinds = belongs.where("dealt").groupBy("family", "component").count()
+    largest = stored(
+        kinds.groupBy("family").agg(
+            F.max_by("component", F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")
+        ).where("kinds > 1").drop("kinds")
+    )
+    if largest.isEmpty():
+        return belongs.select("report_id", "component")
+    split = stored(
+        belongs.join(largest, "family").withColumn("quiet", F.col("component") == F.col("largest"))
+    )
+    named = stored(lists.select("token", "report_id").join(split, "report_id"))
+    holders = stored(
+        named.groupBy("token", F.col("part").alias("there")).agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("quiet").alias("has_quiet")
+        )
+    )
+    asking = stored(
+        named.where("NOT quiet").join(holders, "token")
+        .where("there <> part AND (lo <> component OR hi <> component) AND (there < part OR has_quiet)")
+        .select("family", F.col("there").alias("part"), "report_id", "component")
+        .distinct()
+    )
+    askers = stored(
+        asking.groupBy("family", "part").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("ask_parts"))
+    )
+    same = ["family", "part"]
+    asks = asking.join(askers, same).select(
+        *same, F.pmod(F.xxhash64("report_id", F.lit(2)), "ask_parts").alias("other"),
+        "report_id", "component", F.lit(True).alias("asks"),
+    )
+    asked = split.join(askers, same).select(
+        *same, F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("other"),
+        "report_id", "component", F.lit(False).alias("asks"),
+    )
+    return _relabel(belongs, links(held, asks.unionByName(asked))).select("report_id", "component")
+
+
+def near_duplicates(reports: DataFrame) -> DataFrame:
     """Components of reports ``(report_id, report)`` linked by shared five-word shingles.
 
-    Two reports link when their common shingles are at least ``percent`` of all
+    Two reports link when their common shingles are at least ``PERCENT`` of all
     their shingles.  Words are runs without blanks, A-Z as a-z; fewer than five
     words count as one shingle.  Returns per input row ``report_id, n_shingles,
     component_id`` (the smallest id reachable over links, its own included).
@@ -310,9 +424,8 @@ def near_duplicates(reports: DataFrame, percent: int = PERCENT) -> DataFrame:
       a group of copies costs no pairs.
     * Shingles are 64-bit hashes.  Ids should be unique: of rows that repeat an
       id, each text is searched as such.
-    * No list is cut.  After ``ROUNDS`` linear rounds, in which every report is
-      tried against one report of its lists, all pairs that share a list and are
-      not yet in one component are tried.
+    * No list, family or number of partners is cut.  Only pairs that other links
+      have joined already are left out.
     """
     spark = reports.sparkSession
     reports = reports.select(F.col("report_id").cast("bigint"), F.col("report").cast("string"))
@@ -324,76 +437,51 @@ def near_duplicates(reports: DataFrame, percent: int = PERCENT) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(1, -(-total // RANGE))
     shared = (
-        reports.mapInArrow(_packer(ranges), "range bigint, tokens binary, owners binary, classes binary")
+        reports.mapInArrow(
+            _packer(ranges), "block bigint, range bigint, tokens binary, owners binary, classes binary"
+        )
         .groupBy("range")
-        .applyInArrow(_count_shared, "mark bigint, shared bigint")
+        .applyInArrow(_count_shared, "block bigint, marks binary, counts binary")
+        .groupBy("block")
+        .applyInArrow(_sum_blocks, "mark bigint, shared bigint")
         .groupBy("mark")
         .agg(F.sum("shared").alias("shared"))
     )
     able = stored(
         classes.join(shared, "mark")
-        .where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
+        .where(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
         .select(F.col("first_id").alias("report_id"), "mark")
         .distinct()
     )
-    held = stored(reports.join(able, "report_id").mapInArrow(_hold, "report_id bigint, n bigint, shingles binary"))
+    candidates = narrowed(reports, able, "report_id").join(able, "report_id")
+    held = stored(candidates.mapInArrow(_hold, "report_id bigint, n bigint, shingles binary"))
 
+    lists = "token bigint, report_id bigint, n bigint"
+    none = np.zeros(0, np.int64)
     often = (
-        held.mapInArrow(_often, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-        .where("n >= 32").orderBy(F.desc("n"), "token").limit(COMMON)
+        held.mapInArrow(_prefixes(spark.sparkContext.broadcast((none, none)), PERCENT, times=2), lists)
+        .groupBy("token").count().where(F.col("count") >= OFTEN)
+        .orderBy(F.desc("count"), "token").limit(COMMON)
     )
-    order = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64)))
-    lists = stored(held.mapInArrow(_prefixes(order, percent), "token bigint, report_id bigint, n bigint"))
-    alive = lists.groupBy("token").agg(F.min("report_id").alias("lo"), F.max("report_id").alias("hi"))
-    lists = stored(lists.join(stored(alive.where("lo < hi").select("token")), "token", "left_semi"))
-
-    fits = F.expr(f"n * 100 >= {percent} * other_n AND other_n * 100 >= {percent} * n")
-    belongs = stored(lists.select("report_id").distinct().withColumn("component", F.col("report_id")))
-    for turn in range(ROUNDS + 1):
-        named = stored(lists.join(belongs, "report_id"))
-        split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_lists = stored(named.join(stored(split.where("lo < hi").select("token")), "token", "left_semi"))
-        if open_lists.isEmpty():
-            break
-        if turn < ROUNDS:
-            chosen = stored(
-                open_lists.groupBy("token").agg(
-                    F.min(F.struct(
-                        (F.lit(0) if turn == 0 else F.xxhash64("report_id", F.lit(turn))).cast("bigint").alias("k"),
-                        "report_id", "n", "component",
-                    )).alias("c")
-                ).select("token", F.col("c.report_id").alias("other"), F.col("c.n").alias("other_n"),
-                         F.col("c.component").alias("other_component"))
-            )
-            pairs = (
-                open_lists.join(chosen, "token").where("component <> other_component").where(fits)
-                .groupBy("report_id", "other").count()
-                .groupBy("report_id").agg(F.max_by("other", F.struct("count", "other")).alias("query"))
-                .select("query", F.col("report_id").alias("member"))
-            )
-        else:
-            kinds = stored(open_lists.select("token", "component").distinct())
-            across = stored(
-                kinds.join(kinds.select("token", F.col("component").alias("other_component")), "token")
-                .where("component < other_component")
-            )
-            others = open_lists.select(
-                "token", F.col("component").alias("other_component"), F.col("report_id").alias("query"),
-                F.col("n").alias("other_n"),
-            )
-            pairs = (
-                across.join(open_lists, ["token", "component"]).join(others, ["token", "other_component"])
-                .where(fits).select("query", F.col("report_id").alias("member"))
-            )
-        found = links(held, pairs)
-        a = belongs.select(F.col("report_id").alias("a"), F.col("component").alias("x"))
-        b = belongs.select(F.col("report_id").alias("b"), F.col("component").alias("y"))
-        merged = components(found.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        belongs = stored(
-            belongs.join(merged, belongs.component == merged.node, "left").select(
-                "report_id", F.coalesce("root", "component").alias("component")
-            )
+    # at most COMMON rows, which only decide about the order of search
+    rows = sorted((r[0], r[1]) for r in often.collect())
+    order = spark.sparkContext.broadcast(
+        (np.array([t for t, _ in rows], np.int64), np.array([n for _, n in rows], np.int64))
+    )
+    lists = stored(held.mapInArrow(_prefixes(order, PERCENT), lists))
+    heads = stored(
+        lists.groupBy("token").agg(F.min("report_id").alias("lo"), F.max("report_id").alias("hi"))
+        .where("lo < hi").select("token", "lo")
+    )
+    star = lists.join(heads, "token").select(F.col("report_id").alias("a"), F.col("lo").alias("b"))
+    family = components(star.distinct())
+    sizes = lists.groupBy("report_id").agg(F.max("n").alias("n"), F.min("token").alias("least"))
+    families = stored(
+        sizes.join(family, sizes.report_id == family.node).select(
+            "report_id", "n", "least", F.col("root").alias("family")
         )
+    )
+    belongs = _link_families(held, lists, families)
     homes = stored(
         classes.join(belongs, classes.first_id == belongs.report_id, "left").select(
             *same, F.coalesce("component", "first_id").alias("component_id")
