@@ -32,11 +32,6 @@ def finite(x: str | Column) -> Column:
     return F.when(F.isnan(x) | is_infinite(x), None).otherwise(x)
 
 
-def positive_zero(x: str | Column) -> Column:
-    """Collapse -0.0 to 0.0 so that equal results also hash equally."""
-    return col(x) + F.lit(0.0)
-
-
 # ------------------------------------------------------------- aggregates
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+import barloom
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +22,21 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers of the session, once.
+
+    Functions of the package that run in workers are looked up by name there, so
+    the workers need it even when the driver was started from another folder.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_barloom_shipped", False):
+        root = Path(barloom.__file__).parent
+        target = os.path.join(tempfile.mkdtemp(prefix="barloom-package-"), "barloom.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, Path("barloom") / path.relative_to(root))
+        sc.addPyFile(target)
+        sc._barloom_shipped = True
+    return spark

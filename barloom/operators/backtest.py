@@ -18,8 +18,14 @@ BPS = 10_000.0
 
 
 def align(returns: DataFrame, signals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows whose dates both sides have; missing values become 0."""
-    return returns.join(signals, [*keys, "date"])
+    """Rows whose dates both sides have; a missing return or signal becomes 0.
+
+    It is an error when the two share no date at all.
+    """
+    both = returns.join(signals, [*keys, "date"])
+    if both.isEmpty():
+        raise ValueError("returns and signals have no date in common")
+    return both.fillna(0.0, [c for c in ("asset_return", "signal") if c in both.columns])
 
 
 def run_backtest(

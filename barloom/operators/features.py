@@ -69,6 +69,34 @@ def feature_names(spec: FeatureSpec = FeatureSpec()) -> list[str]:
 FEATURES = feature_names()
 
 
+def rows_needed(spec: FeatureSpec = FeatureSpec()) -> dict[str, int]:
+    """Bars up to and including the current one that each group of features reads.
+
+    The recursive smoothers are counted with the bars after which they are
+    defined; what older bars add to them fades.
+    """
+    one_more = {
+        "returns": max(*spec.return_windows, *spec.volatility_windows, 20),
+        "lags": 1 + max(spec.return_lags),
+        "volume": 1 + spec.volume_window,
+        "rsi": spec.rsi_period,
+    }
+    return {
+        **{k: n + 1 for k, n in one_more.items()},
+        "averages": max(spec.sma_windows),
+        "bollinger": spec.bollinger_window,
+        "macd": spec.macd_slow + spec.macd_signal,
+        "atr": spec.atr_period + 1,
+        "stochastic": STOCH_WINDOW,
+        "year_range": YEAR_WINDOW,
+    }
+
+
+def look_back(spec: FeatureSpec = FeatureSpec()) -> int:
+    """Bars that an incremental run must read for one complete row of features."""
+    return max(rows_needed(spec).values())
+
+
 def feature_matrix(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """Keys and model inputs only, in a stable column order."""
     return df.select("symbol", "date", *feature_names(spec))

@@ -7,6 +7,7 @@ at once are in :mod:`barloom.operators.linear`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -23,6 +24,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.durable import ensure_checkpoint_dir
+
 #: Default settings per model family.
 DEFAULTS: dict[str, dict[str, Any]] = {
     "linear": {},
@@ -41,6 +44,54 @@ MODELS = tuple(DEFAULTS)
 TASKS = ("regression", "classification")
 
 
+_IO = {"featuresCol": "scaled", "labelCol": "target"}
+
+
+def _alpha(p: Mapping[str, Any], n: int) -> float:
+    """A penalty on a sum of squares for inputs that Spark scales by the sample deviation."""
+    alpha = p.get("alpha", 1.0)
+    return alpha * (n - 1) / n if n > 1 else alpha
+
+
+def _least_squares(p, seed, n, label_sd):
+    penalty = _alpha(p, n) * label_sd / n if "alpha" in p else 0.0
+    return LinearRegression(regParam=penalty, elasticNetParam=0.0, solver="normal", standardization=False, **_IO)
+
+
+def _logistic(p, seed, n, label_sd):
+    return LogisticRegression(
+        regParam=max(_alpha(p, n), 1e-9) / n, maxIter=1000, tol=1e-8, standardization=False, **_IO
+    )
+
+
+def _grown(cls, own: Mapping[str, str]):
+    """Trees of a class; ``own`` maps its Spark parameters to our settings."""
+
+    def make(p, seed, n, label_sd):
+        return cls(
+            seed=seed, maxDepth=p["depth"], minInstancesPerNode=p["min_leaf"],
+            featureSubsetStrategy=str(p["feature_share"]), **{k: p[v] for k, v in own.items()}, **_IO,
+        )
+
+    return make
+
+
+_FOREST = {"numTrees": "trees"}
+_STEPS = {"maxIter": "rounds", "stepSize": "learning_rate", "subsamplingRate": "row_share"}
+
+#: Who makes the estimator of a model and a task.
+FACTORIES = {
+    ("linear", "regression"): _least_squares,
+    ("ridge", "regression"): _least_squares,
+    ("linear", "classification"): _logistic,
+    ("ridge", "classification"): _logistic,
+    ("random_forest", "regression"): _grown(RandomForestRegressor, _FOREST),
+    ("random_forest", "classification"): _grown(RandomForestClassifier, _FOREST),
+    ("boosted", "regression"): _grown(GBTRegressor, _STEPS),
+    ("boosted", "classification"): _grown(GBTClassifier, _STEPS),
+}
+
+
 def build_model(
     name: str,
     params: Mapping[str, Any] | None = None,
@@ -53,35 +104,12 @@ def build_model(
 
     ``n`` and ``label_sd`` (population standard deviation of the label) turn a
     penalty on a sum of squares, alpha, into the per-row penalty Spark takes.
-    They also undo that Spark scales by the sample deviation, not the
-    population one.  Boosted trees have no leaf penalty in Spark ML.
+    Boosted trees have no leaf penalty in Spark ML.
     """
-    if name not in DEFAULTS:
-        raise ValueError(f"unknown model {name!r}; one of {MODELS}")
-    if task not in TASKS:
-        raise ValueError(f"unknown task {task!r}")
-    p = {**DEFAULTS[name], **(params or {})}
-    io = {"featuresCol": "scaled", "labelCol": "target"}
-    classify = task == "classification"
-    if name in ("linear", "ridge"):
-        alpha = p.get("alpha", 1.0) * (n - 1) / n if n > 1 else p.get("alpha", 1.0)
-        if classify:
-            return LogisticRegression(
-                regParam=max(alpha, 1e-9) / n, maxIter=1000, tol=1e-8, standardization=False, **io
-            )
-        penalty = 0.0 if name == "linear" else alpha * label_sd / n
-        return LinearRegression(
-            regParam=penalty, elasticNetParam=0.0, solver="normal", standardization=False, **io
-        )
-    io |= {"seed": seed, "maxDepth": p["depth"], "minInstancesPerNode": p["min_leaf"]}
-    io |= {"featureSubsetStrategy": str(p["feature_share"])}
-    if name == "random_forest":
-        cls = RandomForestClassifier if classify else RandomForestRegressor
-        return cls(numTrees=p["trees"], **io)
-    cls = GBTClassifier if classify else GBTRegressor
-    return cls(
-        maxIter=p["rounds"], stepSize=p["learning_rate"], subsamplingRate=p["row_share"], **io
-    )
+    make = FACTORIES.get((name, task))
+    if make is None:
+        raise ValueError(f"no model {name!r} for {task!r}; models {MODELS}, tasks {TASKS}")
+    return make({**DEFAULTS[name], **(params or {})}, seed, n, label_sd)
 
 
 def fit_model(
@@ -179,12 +207,28 @@ def stack_predictions(
 
 
 def fit_basket(
-    train: DataFrame, features: Sequence[str], symbols: Sequence[str], **options
+    train: DataFrame, features: Sequence[str], symbols: Sequence[str], parallel: int = 4, **options
 ) -> dict[str, PipelineModel]:
-    """One model per named symbol, for a basket small enough to list."""
+    """One model per named symbol.
+
+    The panel is scanned once: it is written to the shared checkpoint folder by
+    symbol, and each fit reads the folder of its own symbol.
+    """
+    spark = train.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basket-{uuid.uuid4().hex}"
+    rows = train.where(F.col("symbol").isin(list(symbols))).select("symbol", "date", *features, "target")
+    rows.repartition("symbol").write.partitionBy("symbol").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
     return fit_many(
-        {
-            s: (lambda s=s: fit_model(train.where(F.col("symbol") == s), features, **options))
-            for s in symbols
-        }
+        {s: (lambda s=s: fit_model(stored.where(F.col("symbol") == s), features, **options)) for s in symbols},
+        parallel,
     )
+
+
+def predict_basket(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """Each symbol's rows under its own model."""
+    out = None
+    for symbol, model in models.items():
+        part = predict(model, df.where(F.col("symbol") == symbol))
+        out = part if out is None else out.unionByName(part)
+    return out

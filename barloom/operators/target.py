@@ -83,14 +83,9 @@ def split_summary(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def check_split(df: DataFrame, keys: Sequence[str] = KEYS) -> None:
-    """Raise when a symbol misses a part or its parts overlap in time.
-
-    One small aggregate decides for all symbols; only offenders reach the
-    driver, and no more than a handful of those.
-    """
-    parts = split_summary(df, keys)
-    wide = parts.groupBy(*keys).pivot("split", list(SPLITS)).agg(
+def split_faults(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Symbols that miss a part of the split, or whose parts overlap in time."""
+    wide = split_summary(df, keys).groupBy(*keys).pivot("split", list(SPLITS)).agg(
         F.first("start").alias("start"), F.first("end").alias("end")
     )
     empty = [F.when(F.col(f"{s}_start").isNull(), F.lit(f"{s} is empty")) for s in SPLITS]
@@ -98,16 +93,22 @@ def check_split(df: DataFrame, keys: Sequence[str] = KEYS) -> None:
         F.when(F.col(f"{a}_end") >= F.col(f"{b}_start"), F.lit(f"{a} overlaps {b}"))
         for a, b in zip(SPLITS, SPLITS[1:])
     ]
-    bad = (
-        wide.withColumn("faults", F.array_compact(F.array(*empty, *overlap)))
-        .where(F.size("faults") > 0)
-        .select(*keys, "faults")
-        .limit(5)
-        .collect()
+    return (
+        wide.withColumn("fault", F.explode(F.array_compact(F.array(*empty, *overlap))))
+        .select(*keys, "fault")
     )
+
+
+def check_split(df: DataFrame, keys: Sequence[str] = KEYS) -> None:
+    """Raise when a symbol misses a part or its parts overlap in time.
+
+    One small aggregate decides for all symbols; only offenders reach the
+    driver, and no more than a handful of those.
+    """
+    bad = split_faults(df, keys).limit(5).collect()
     if bad:
         raise ValueError(f"unusable split: {[r.asDict() for r in bad]}")
-    if parts.isEmpty():
+    if df.isEmpty():
         raise ValueError("cannot split an empty frame")
 
 

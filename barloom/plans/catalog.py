@@ -321,6 +321,20 @@ def bars_negative_prices(spark, sf):
     return tidy(bars_from_ticks(shifted))
 
 
+@query(
+    "update_window",
+    with_sql(
+        _RESTATED,
+        """SELECT s.symbol, s.date FROM bars s
+JOIN (SELECT symbol, max(date) - 7 AS since FROM stored GROUP BY symbol) USING (symbol) WHERE s.date >= since""",
+    ),
+)
+def update_window(spark, sf):
+    """What an update reads again of the source: the overlap and the new days."""
+    stored, _ = _increment(spark, sf)
+    return panel_store.fresh_part(stored, inputs.trade_bars(spark, sf)).select("symbol", "date")
+
+
 @query(
     "range_uncovered",
     with_sql(
@@ -699,6 +713,18 @@ def split_summary(spark, sf):
     return tidy(target.split_summary(_dataset(spark, sf)))
 
 
+@query(
+    "split_check",
+    with_sql(
+        _DATA,
+        "SELECT symbol, 'valid is empty' AS fault FROM data WHERE symbol = 'A' GROUP BY symbol",
+    ),
+)
+def split_check(spark, sf):
+    """A symbol without its middle part is reported, the others are not."""
+    return target.split_faults(_dataset(spark, sf).where("symbol <> 'A' OR split <> 'valid'"))
+
+
 @query(
     "class_balance",
     with_sql(
@@ -1223,6 +1249,15 @@ def sweep_period(spark, sf):
     return tidy(stress.sweep_periods(inputs.momentum(spark, sf)))
 
 
+@query(
+    "sweep_curve",
+    with_sql(_COST_RUNS, f"SELECT symbol, cost_bps AS x, {rounded('total_return', 'y')} FROM runs_scored"),
+)
+def sweep_curve(spark, sf):
+    swept = stress.sweep_costs(inputs.momentum(spark, sf), _COSTS)
+    return tidy(eda.sweep_curve(swept, "cost_bps", "total_return"))
+
+
 @query(
     "sweep_symbol",
     with_sql(
@@ -1746,6 +1781,20 @@ for _name in ("linear", "random_forest", "boosted"):
     )
 
 
+def _basket(name: str):
+    def fit(spark, sf):
+        data = study.checkpointed(_dataset(spark, sf))
+        symbols = sorted(r[0] for r in data.select("symbol").distinct().collect())
+        fitted = models.fit_basket(data.where("split = 'train'"), FEATURES, symbols, name=name)
+        return models.predict_basket(fitted, data)
+
+    return fit
+
+
+_fit_check("model_basket_forest", _basket("random_forest"), _REGRESSED, "prediction BETWEEN {lo}D AND {hi}D")
+_fit_check("model_basket_boosted", _basket("boosted"), _REGRESSED, "abs(prediction) < 1")
+
+
 @query(
     "model_importance_sums",
     with_sql(

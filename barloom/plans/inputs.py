@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
 from barloom.functions.columns import ratio
-from barloom.functions.session import tune
+from barloom.functions.session import ship, tune
 from barloom.functions.windows import by_date, roll
 from barloom.operators.target import realised_returns
 from barloom.plans.oracle_parts import ABSENT_DAY, ARRIVAL, DAMAGE, REVISED_DAY
@@ -18,7 +18,7 @@ SPEC = StudySpec(train_end="1999-12-31", valid_end="2000-12-31")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return ship(tune(spark)).read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def trade_bars(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
 from barloom.functions.durable import checkpointed
-from barloom.functions.session import tune
 from barloom.operators import stress
 from barloom.operators.backtest import entered, run_backtest, trade_log
 from barloom.operators.cleaning import clean, cleaning_log, mark_cleaning
@@ -28,12 +26,13 @@ from barloom.operators.models import (
     fit_many,
     fit_model,
     predict,
+    stack_predictions,
 )
 from barloom.operators.quality import validate
 from barloom.operators.regimes import regime_report
 from barloom.operators.report import correlation_headline, report_sections, verdict
 from barloom.operators.signals import generate_signals
-from barloom.operators.target import build_dataset, realised_returns, split_summary
+from barloom.operators.target import build_dataset, check_split, realised_returns, split_summary
 from barloom.operators.walkforward import (
     fold_bounds,
     fold_table,
@@ -47,7 +46,6 @@ from barloom.sources.raw_bars import describe
 
 def fetch(raw: DataFrame) -> dict[str, DataFrame]:
     """Validation report, cleaned bars, cleaning log and headline statistics."""
-    tune(raw.sparkSession)
     marked = mark_cleaning(raw)
     cleaned = clean(raw)
     return {
@@ -62,11 +60,13 @@ def prepare(cleaned: DataFrame, spec: StudySpec, durable: bool = True) -> DataFr
     """The labelled, split feature panel.
 
     Fits and sweeps read it many times, so it is written to the checkpoint
-    folder once instead of being recomputed for each.
+    folder once instead of being recomputed for each.  A symbol that lacks a
+    part of the split is an error.
     """
-    tune(cleaned.sparkSession)
     data = build_dataset(cleaned, spec)
-    return checkpointed(data) if durable else data
+    data = checkpointed(data) if durable else data
+    check_split(data)
+    return data
 
 
 @dataclass(frozen=True)
@@ -143,11 +143,7 @@ def compare_models(
         }
     )
     tested = data.where(F.col("split") == part)
-    stacked = reduce(
-        DataFrame.unionByName,
-        [predict(m, tested).withColumn("model", F.lit(n)) for n, m in fitted.items()],
-    )
-    return comparison_table(stacked, spec, part)
+    return comparison_table(stack_predictions(fitted, tested, "model"), spec, part)
 
 
 def comparison_table(stacked: DataFrame, spec: StudySpec, part: str = "test") -> DataFrame:
@@ -167,7 +163,7 @@ def comparison_table(stacked: DataFrame, spec: StudySpec, part: str = "test") ->
     )
     stats = ("total_return", "cagr", "sharpe_ratio", "max_drawdown", "n_trades", "exposure")
     own = scored.where(F.col("series") == "strategy").select(*keys, *stats)
-    # The benchmark is the same for every model; any one row stands for it.
+    # Every model carries the same market rows, so the first model's stand for all.
     hold = (
         scored.where(F.col("series") == "benchmark")
         .groupBy("symbol")
@@ -184,19 +180,21 @@ def comparison_table(stacked: DataFrame, spec: StudySpec, part: str = "test") ->
 
 
 def seed_predictions(
-    data: DataFrame, spec: StudySpec, name: str, seeds: Sequence[int], params: Mapping | None = None
+    data: DataFrame,
+    spec: StudySpec,
+    name: str,
+    seeds: Sequence[int] | None = None,
+    params: Mapping | None = None,
 ) -> DataFrame:
-    """Test rows with ``asset_return``, once per seed of a refitted model."""
+    """Test rows with ``asset_return``, once per seed (all of the settings) of a refitted model."""
+    seeds = spec.seed_grid if seeds is None else seeds
     features = feature_names(spec.features)
     rows = data.where(F.col("split") == "train")
     models = fit_many(
         {s: (lambda s=s: fit_model(rows, features, name, params, s, spec.kind)) for s in seeds}
     )
     tested = realised_returns(data.where(F.col("split") == "test"), keys=["symbol"])
-    return reduce(
-        DataFrame.unionByName,
-        [predict(m, tested).withColumn("seed", F.lit(s)) for s, m in models.items()],
-    )
+    return stack_predictions(models, tested, "seed")
 
 
 def sweeps(test_rows: DataFrame, spec: StudySpec) -> dict[str, DataFrame]:

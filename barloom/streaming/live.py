@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
 from barloom.functions.columns import mean_when
+from barloom.functions.durable import checkpointed
 from barloom.functions.windows import by_date, first_n
 from barloom.operators.cleaning import clean
-from barloom.operators.features import build_features
+from barloom.operators.features import build_features, look_back
 from barloom.operators.models import load_model, predict
 from barloom.operators.signals import signal_of
 from barloom.operators.target import realised_returns
@@ -26,10 +27,14 @@ from barloom.sources.logs import (
 
 MARKET_TZ = "America/New_York"
 CLOSE_HOUR = 16
+#: Bars of the tail, least bars of a symbol, largest believable daily return.
 TAIL_BARS = 400
 MIN_BARS = 100
 SANITY_BOUND = 0.10
 
+#: Days before an open prediction from which bars are read, so that its own bar is among them.
+SLACK_DAYS = 30
+
 
 def bar_is_final(bar_date: str | Column, now: str | Column) -> Column:
     """Whether the session of a bar was over at ``now`` (a UTC timestamp).
@@ -76,6 +81,27 @@ def latest_features(cleaned: DataFrame, spec: StudySpec) -> DataFrame:
     return first_n(build_features(tail, spec.features), 1, ["symbol"], F.desc("date"))
 
 
+def recent(raw: DataFrame, log: DataFrame, spec: StudySpec) -> DataFrame:
+    """The raw rows that a daily run reads: the tail of each symbol and what open predictions need.
+
+    The dates alone (two columns) tell where the tail of a symbol begins: the
+    bars of the feature tail, the look-back of the features before it, and as
+    many again as slack for bars that cleaning drops.
+    """
+    bars = 2 * (TAIL_BARS + look_back(spec.features))
+    dates = raw.select("symbol", F.to_date("date").alias("date")).distinct()
+    tail = first_n(dates, bars, ["symbol"], F.desc("date")).groupBy("symbol").agg(F.min("date").alias("__tail"))
+    open_since = (
+        log.where(F.col("realised_return").isNull())
+        .groupBy("symbol")
+        .agg(F.date_sub(F.min("bar_date"), SLACK_DAYS).alias("__open"))
+    )
+    since = tail.join(open_since, "symbol", "left").select(
+        "symbol", F.least("__tail", "__open").alias("__since")
+    )
+    return raw.join(since, "symbol").where(F.to_date("date") >= F.col("__since")).drop("__since")
+
+
 def predict_latest(
     cleaned: DataFrame, model: PipelineModel, spec: StudySpec, logged_at: str
 ) -> DataFrame:
@@ -214,13 +240,13 @@ def run_daily(
     Safe to repeat: a batch reads the log as it stood before it and overwrites
     only its own files; outcomes are looked up before predictions are made, and
     a key already in the log is skipped.
-    Returns the per-symbol status of the run.
+    Reads only the tail of each symbol.  Returns the status of every symbol.
     """
-    cleaned = clean(raw)
     log = read_log(spark, log_root, before=batch)
+    cleaned = checkpointed(clean(recent(raw, log, spec)))
     append_outcomes(outcomes(log, cleaned), log_root, batch)
 
-    made = predict_latest(cleaned, load_model(model_folder), spec, now)
+    made = checkpointed(predict_latest(cleaned, load_model(model_folder), spec, now))
     fresh = unlogged(made, log).where(bar_is_final("bar_date", now) & ~F.col("refused"))
     append_predictions(fresh, log_root, batch)
 
@@ -233,8 +259,16 @@ def run_daily(
         .when(~bar_is_final("bar_date", now), "bar_not_final")
         .when(F.col("refused"), "refused")
     )
-    return (
+    told = (
         made.join(marks, list(LOG_KEY), "left")
         .join(earlier, list(LOG_KEY), "left")
         .select("symbol", "bar_date", "model", status.alias("status"), "prediction", "signal")
     )
+    # a symbol without a complete feature row has too few bars
+    short = (
+        raw.groupBy("symbol")
+        .agg(F.max(F.to_date("date")).alias("bar_date"))
+        .join(told, "symbol", "left_anti")
+        .select("symbol", "bar_date", F.lit(spec.model).alias("model"), F.lit("too_short").alias("status"))
+    )
+    return told.unionByName(short, allowMissingColumns=True)
