@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from barloom.plans import inputs, study
 from barloom.plans import oracle_parts as sql
 from barloom.plans.inputs import SPEC
 from barloom.plans.oracle_parts import num, rounded, with_sql
-from barloom.sources import panel_store, raw_bars
+from barloom.sources import logs, panel_store, raw_bars
 from barloom.sources.ticks import bars_from_ticks, event_ticks
 from barloom.streaming import ingest, live
 
@@ -443,6 +444,54 @@ def clean_bars(spark, sf):
     return tidy(cleaning.clean(inputs.raw_bars(spark, sf)))
 
 
+@query(
+    "clean_without_zero_volume",
+    with_sql(
+        sql.cleaned_bars(),
+        f"SELECT symbol, date, {_BAR_NUMBERS} FROM marked WHERE dropped IS NULL AND volume <> 0",
+    ),
+)
+def clean_without_zero_volume(spark, sf):
+    return tidy(cleaning.clean(inputs.raw_bars(spark, sf), drop_zero_volume=True))
+
+
+@query(
+    "wide_round_trip",
+    with_sql(
+        sql.trade_bars(),
+        f"""SELECT symbol, date, {num('close', 'volume')}
+FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN (SELECT DISTINCT date FROM bars)
+LEFT JOIN bars USING (symbol, date)""",
+    ),
+)
+def wide_round_trip(spark, sf):
+    """Bars as one wide row per date, ``field|symbol`` columns, and back; days without a bar are missing."""
+    bars = inputs.trade_bars(spark, sf)
+    symbols = [r[0] for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
+    wide = bars.groupBy("date").agg(
+        *[
+            F.max(F.when(F.col("symbol") == s, F.col(c))).alias(f"{c}|{s}")
+            for s in symbols
+            for c in ("close", "volume")
+        ]
+    )
+    long = raw_bars.wide_to_long(wide)
+    return tidy(
+        long.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in ("close", "volume")])
+    )
+
+
+@query(
+    "basket_absent",
+    with_sql(sql.trade_bars(), "SELECT 'ZZZ' AS symbol FROM bars LIMIT 1"),
+)
+def basket_absent(spark, sf):
+    """Of the symbols asked for, those that are not stored."""
+    root = _new_store(spark, "basket")
+    panel_store.write_batch(inputs.trade_bars(spark, sf), root, 0)
+    return panel_store.load_many(spark, root, ["A", "N", "ZZZ"])[1]
+
+
 def _total(x: str, name: str) -> str:
     return f"CAST(sum({x}) AS BIGINT) AS {name}"
 
@@ -1901,6 +1950,54 @@ def log_idempotent_append(spark, sf):
     return tidy(fresh.select("symbol", "bar_date", "model", "prediction", "signal"))
 
 
+@query(
+    "log_csv_round_trip",
+    with_sql(
+        _LOG,
+        f"SELECT symbol, bar_date, model, {num('prediction', 'signal')}, CAST(NULL AS VARCHAR) AS correct FROM log",
+    ),
+)
+def log_csv_round_trip(spark, sf):
+    """The log through CSV text and back on its declared types."""
+    log, _ = _log(spark, sf)
+    text = log.select("symbol", "bar_date", "model", "prediction", "signal")
+    path = logs.write_csv(text, _new_store(spark, "log-csv"))
+    return tidy(
+        logs.read_csv_log(spark, path).select("symbol", "bar_date", "model", "prediction", "signal", "correct")
+    )
+
+
+@query(
+    "experiment_log",
+    with_sql(
+        f"""{_REG},
+hold AS (SELECT symbol, count(*) AS bars FROM data GROUP BY symbol)""",
+        f"""SELECT symbol, CAST(horizon AS INTEGER) AS horizon, 'boosted' AS model, n AS model_n,
+  {rounded('mae', 'model_mae')}, bars AS strategy_bars, horizon = 1 AS has_note
+FROM reg JOIN hold USING (symbol), (VALUES (1), (5)) h(horizon) WHERE split = 'test'""",
+    ),
+)
+def experiment_log(spark, sf):
+    """Two runs with different columns, the first logged twice."""
+    path = _new_store(spark, "experiments")
+    scored = study.checkpointed(_scored(spark, sf).select("symbol", "split", "target", "prediction"))
+    accuracy = evaluate.regression_metrics(scored.where("split = 'test'")).select("symbol", "n", "mae")
+    bars = scored.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"))
+    for horizon in (1, 1, 5):
+        spec = replace(SPEC, horizon=horizon)
+        row = logs.experiment_row(spec, accuracy, bars)
+        if horizon == 1:
+            row = row.withColumn("note", F.lit("again"))
+        logs.log_experiment(row, path, spec.fingerprint())
+    out = logs.read_experiments(spark, path)
+    return tidy(
+        out.select(
+            "symbol", "horizon", "model", "model_n", "model_mae", "strategy_bars",
+            F.col("note").isNotNull().alias("has_note"),
+        )
+    )
+
+
 _NOW = "2001-06-15 19:30:00"  # 15:30 in New York: the session is still open
 
 

@@ -97,17 +97,30 @@ def _append(rows: DataFrame, schema: str, path: str) -> None:
     rows.select(*names).write.mode("overwrite").parquet(path)
 
 
-def log_experiment(row: DataFrame, path: str) -> None:
-    """Append one run; columns may differ between runs."""
-    row.write.mode("append").parquet(path)
+#: Settings that an experiment row carries.
+SETTINGS = (
+    "model", "kind", "horizon", "train_end", "valid_end", "threshold", "allow_short", "cost_bps",
+    "slippage_bps", "initial_capital", "seed", "risk_free_rate",
+)
 
 
-def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def experiment_row(spec, accuracy: DataFrame, performance: DataFrame) -> DataFrame:
+    """One row per symbol of a run: settings, ``model_*`` and ``strategy_*`` numbers."""
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select("symbol", *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != "symbol"])
+
+    return named(accuracy, "model_").join(named(performance, "strategy_"), "symbol").select(
+        F.lit(spec.fingerprint()).alias("run"), *[F.lit(getattr(spec, c)).alias(c) for c in SETTINGS], "*"
+    )
 
 
-def append_by_name(log: DataFrame, row: DataFrame) -> DataFrame:
-    return log.unionByName(row, allowMissingColumns=True)
+def log_experiment(row: DataFrame, path: str, run: str) -> None:
+    """Store one run; repeating a run replaces it, and columns may differ between runs."""
+    row.drop("run").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
+
+
+def read_experiments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
