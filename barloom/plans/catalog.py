@@ -1002,7 +1002,8 @@ def trade_stats(spark, sf):
     ),
 )
 def trade_markers(spark, sf):
-    result = _result(spark, sf)
+    # read twice: as bars and for the trades on them
+    result = study.checkpointed(_result(spark, sf))
     return tidy(eda.trade_markers(bt.trade_log(result), result))
 
 
@@ -1295,7 +1296,8 @@ FROM runs_scored JOIN sizes USING (symbol, period) WHERE days >= 20""",
     ),
 )
 def sweep_period(spark, sf):
-    return tidy(stress.sweep_periods(inputs.momentum(spark, sf)))
+    # read twice: for the sizes of the periods and for the runs
+    return tidy(stress.sweep_periods(study.checkpointed(inputs.momentum(spark, sf))))
 
 
 @query(
@@ -1950,6 +1952,24 @@ def log_idempotent_append(spark, sf):
     return tidy(fresh.select("symbol", "bar_date", "model", "prediction", "signal"))
 
 
+@query(
+    "live_latest_ridge",
+    with_sql(
+        _RIDGE,
+        f"""SELECT symbol, date, {rounded(sql.fitted(FEATURES), 'prediction')}
+FROM feat JOIN coefs USING (symbol) QUALIFY date = max(date) OVER (PARTITION BY symbol)""",
+    ),
+)
+def live_latest_ridge(spark, sf):
+    """Tomorrow's prediction from the tail of each symbol, under its own ridge fit."""
+    bars = study.checkpointed(inputs.trade_bars(spark, sf))
+    data = target.attach_target(build_features(bars))
+    train = target.chronological_split(data, SPEC.train_end, SPEC.valid_end).where("split = 'train'")
+    latest = live.latest_features(bars, SPEC)
+    fitted = fit_linear(train, FEATURES, alpha=1.0)
+    return tidy(predict_linear(latest, fitted, FEATURES).select("symbol", "date", "prediction"))
+
+
 @query(
     "log_csv_round_trip",
     with_sql(

@@ -145,3 +145,15 @@ def test_returns_fall_with_cost(spark, returns):
     assert swept["total_return"].is_monotonic_decreasing
     periods = local(sweep_periods(rows, 4), "period")
     assert list(periods["days"]) == [75] * 4
+
+
+def test_align_needs_a_shared_date(spark):
+    import pytest
+
+    from barloom.operators.backtest import align
+
+    a = spark.createDataFrame([("A", "2024-01-01", None), ("A", "2024-01-02", 0.1)], "symbol string, date string, asset_return double")
+    b = spark.createDataFrame([("A", "2024-01-01", 1.0)], "symbol string, date string, signal double")
+    assert [tuple(r) for r in align(a, b).collect()] == [("A", "2024-01-01", 0.0, 1.0)]
+    with pytest.raises(ValueError, match="no date"):
+        align(a, b.selectExpr("symbol", "'2025-01-01' AS date", "signal"))

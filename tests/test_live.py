@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
-from barloom.operators.features import FEATURES, build_features
+from barloom.operators.features import FEATURES, build_features, look_back
 from barloom.operators.models import fit_model, save_model
 from barloom.operators.target import attach_target
 from barloom.sources import panel_store as store
-from barloom.sources.logs import coerce_log, read_log
+from barloom.sources.logs import LOG_SCHEMA, coerce_log, read_log
 from barloom.streaming.ingest import ingest_bars, merge_increment
-from barloom.streaming.live import bar_is_final, next_bars, run_daily, scorecard
+from barloom.streaming.live import bar_is_final, next_bars, recent, run_daily, scorecard
 from tests.frames import BARS, linear_bars, local, to_spark, walk
 
 
@@ -137,8 +137,13 @@ def test_daily_job_predicts_once_and_scores_later(spark, tmp_path):
     part = bars.where(F.col("date") <= day[298])
     noon, late = f"{day[298]} 16:00:00", f"{day[298]} 23:00:00"
 
+    short = bars.where(F.col("date") > day[260]).withColumn("symbol", F.lit("NEW"))
+
     def status(batch, rows, now):
-        return run_daily(spark, rows, folder, root, batch, now, spec).first()["status"]
+        rows = rows.unionByName(short.where(F.col("date") <= day[298]))
+        out = {r["symbol"]: r["status"] for r in run_daily(spark, rows, folder, root, batch, now, spec).collect()}
+        assert out["NEW"] == "too_short"
+        return out["AAA"]
 
     assert status(0, part, noon) == "bar_not_final"
     assert status(1, part, late) == "predicted"
@@ -154,6 +159,17 @@ def test_daily_job_predicts_once_and_scores_later(spark, tmp_path):
     assert (card["n_predictions"], card["n_scored"]) == (2, 1)
 
 
+def test_daily_run_reads_only_the_tail(spark):
+    bars = to_spark(spark, walk(3000, start="2010-01-01"), seq=True)
+    spec = StudySpec(model="linear")
+    log = spark.createDataFrame([], LOG_SCHEMA)
+    n = recent(bars, log, spec).count()
+    assert n == 2 * (400 + look_back(spec.features)) < 3000
+    first = bars.orderBy("date").first()["date"]
+    asked = spark.createDataFrame([(first + dt.timedelta(days=90), "AAA", None)], "bar_date date, symbol string, realised_return double")
+    assert recent(bars, asked, spec).count() > n
+
+
 def test_log_text_is_coerced(spark):
     df = spark.createDataFrame([("2026-01-05", "", "nan", "0.5x")], "bar_date string, target_date string, correct string, prediction string")
     row = coerce_log(df).first()
