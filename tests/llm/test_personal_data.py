@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -74,7 +75,16 @@ def test_em_ranks_labelers():
     assert tables[0][1][0] - tables[0][1][1] > tables[4][1][0] - tables[4][1][1]
 
 
-def test_query_columns(spark):
-    out = op9_personal_data(spark, "/root/testdata/sf0.001")
+def test_query_digests(spark):
+    sf = "/root/testdata/sf0.001"
+    text = dict(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    out = op9_personal_data(spark, sf)
     assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    assert out.count() == 200
+    rows = out.collect()
+    assert len(rows) == 200 and any(r.spans for r in rows)
+    for r in rows:
+        base = [f"{k}:{a}:{b}" for a, _, b, k in brute(text[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("other:")] == base
+        counts = [sum(b.startswith(k) for b in base) for k in PATTERNS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
