@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.durable import ensure_checkpoint_dir
+from barloom.functions.session import ship
 
 #: White space of every word contract: blank and 0x09 to 0x0D.
 BLANKS = b" \t\n\x0b\x0c\r"
 
 #: Bytes of text hashed in one numpy step; bounds the memory of a task.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def as_reports(documents: DataFrame) -> DataFrame:
@@ -28,13 +29,18 @@ def as_reports(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("report_id"), F.col("text").alias("report"))
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-llm/{kind}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the files.
 
     Later reads prune columns, know the size, and survive lost executors.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-llm/{uuid.uuid4().hex}"
+    path = shared_folder(spark, "steps")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

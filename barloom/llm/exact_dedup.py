@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLANKS, byte_view, stored
+from barloom.llm.common import BLANKS, byte_view, narrowed, stored
 
 #: Bytes hashed, and later compared, as one unit.
 CHUNK = 1 << 14
@@ -19,6 +19,9 @@ CHUNK = 1 << 14
 MODULI = (2147483647, 2147483629)
 BASES = (1103515245, 1664525029)
 
+#: Bits of a fingerprint; fewer only make collisions that the comparison must settle.
+BITS = 62
+
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -68,40 +71,51 @@ def _normalised(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bytes]
         yield i, raw, raw.tobytes().translate(None, BLANKS)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for _, raw, text in _normalised(batch):
-            a, b = fingerprint(text)
-            points = int(np.count_nonzero((raw & 0xC0) != 0x80))
-            rows.append((a << 31 | b, len(text), points, hashlib.sha256(text).hexdigest()))
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("report_id"), *(pa.array(c, t) for c, t in zip(
-                columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
-            ["report_id", "fingerprint", "n_bytes", "n_points", "text_sha256"],
-        )
+def _folded(text: bytes, bits: int) -> int:
+    a, b = fingerprint(text)
+    return (a << 31 | b) >> (BITS - bits)
+
+
+def _fingerprints(bits: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, raw, text in _normalised(batch):
+                points = int(np.count_nonzero((raw & 0xC0) != 0x80))
+                rows.append((_folded(text, bits), len(text), points, hashlib.sha256(text).hexdigest()))
+            columns = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("report_id"), *(pa.array(c, t) for c, t in zip(
+                    columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))],
+                ["report_id", "fingerprint", "n_bytes", "n_points", "text_sha256"],
+            )
 
+    return emit
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunks(bits: int):
     names = ["fingerprint", "n_bytes", "chunk_no", "chunk"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for _, _, text in _normalised(batch):
-            a, b = fingerprint(text)
-            for k, at in enumerate(range(0, len(text), CHUNK)):
-                rows.append((a << 31 | b, len(text), k, text[at : at + CHUNK]))
-            held += len(text)
-            if held > 1 << 23:
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for _, _, text in _normalised(batch):
+                mark = _folded(text, bits)
+                for k, at in enumerate(range(0, len(text), CHUNK)):
+                    rows.append((mark, len(text), k, text[at : at + CHUNK]))
+                held += len(text)
+                if held > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows, held = [], 0
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return emit
 
 
-def exact_duplicates(reports: DataFrame) -> DataFrame:
+def exact_duplicates(reports: DataFrame, bits: int = BITS) -> DataFrame:
     """Group reports ``(report_id, report)`` whose text is equal without white space.
 
     Of a group the report with the most code points stays, then the smallest
@@ -120,7 +134,7 @@ def exact_duplicates(reports: DataFrame) -> DataFrame:
     reports = reports.select(F.col("report_id").cast("bigint"), F.col("report").cast("string"))
     prints = stored(
         reports.mapInArrow(
-            _fingerprints,
+            _fingerprints(bits),
             "report_id bigint, fingerprint bigint, n_bytes bigint, n_points bigint, text_sha256 string",
         )
     )
@@ -128,8 +142,9 @@ def exact_duplicates(reports: DataFrame) -> DataFrame:
     shared = stored(prints.groupBy(same).count().where("count > 1 AND n_bytes > 0").drop("count"))
     suspects = stored(prints.join(shared, same, "left_semi").select("report_id").distinct())
     unequal = stored(
-        reports.join(suspects, "report_id", "left_semi")
-        .mapInArrow(_chunks, "fingerprint bigint, n_bytes bigint, chunk_no bigint, chunk binary")
+        narrowed(reports, suspects, "report_id")
+        .join(suspects, "report_id", "left_semi")
+        .mapInArrow(_chunks(bits), "fingerprint bigint, n_bytes bigint, chunk_no bigint, chunk binary")
         .groupBy(*same, "chunk_no")
         .agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
         .where("low <> high")

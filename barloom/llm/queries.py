@@ -17,7 +17,7 @@ from barloom.llm import (
     sharding,
     substring_dedup,
 )
-from barloom.llm.common import as_reports, table
+from barloom.llm.common import as_reports, shared_folder, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         shards=8,
         key=("doc_id",),
         carry={"text_crc32": F.crc32(text)},
+        map_root=shared_folder(spark, "slot-maps"),
     )
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",

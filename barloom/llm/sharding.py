@@ -110,12 +110,14 @@ def shard_panel(
     key: Sequence[str] = ("symbol", "date"),
     slots: int = SLOTS,
     carry: dict[str, Column] | None = None,
+    map_root: str | None = None,
 ) -> DataFrame:
     """Put bars (any keyed records) into shards by key and shard count alone.
 
     A key hashes to one of ``slots`` virtual slots and the map of that shard
     count names the slot's shard; ``grown_shard`` is the shard under the next
-    version of the map, with one shard more.  Returns the key columns,
+    version of the map, with one shard more.  With ``map_root`` both versions
+    are stored there.  Returns the key columns,
     ``size``, the ``carry`` columns, ``virtual_slot``, ``shard``,
     ``grown_shard``, ``slot_bytes`` (all bytes of the virtual slot) and
     ``slot``: the row's place in its shard, gapless from 0.
@@ -128,6 +130,8 @@ def shard_panel(
     carry = carry or {}
     now = map_for(shards, slots)
     then = add_shard(now)
+    for m in (now, then) if map_root else ():
+        save_map(spark, m, map_root)
     slim = stored(
         bars.select(
             *key,
