@@ -25,6 +25,24 @@ PRIOR = 200.0
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
+#: Bytes of a pair's hash that are sent: with its range they stand for all eight.
+PAIR_BYTES = 6
+
+
+def _pack(keys: np.ndarray, words: bool) -> bytes:
+    raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return (raw if words else raw[:, :PAIR_BYTES]).tobytes()
+
+
+def _unpack(data: bytes, words: bool) -> np.ndarray:
+    if words:
+        return np.frombuffer(data, "<u8")
+    raw = np.frombuffer(data, np.uint8).reshape(-1, PAIR_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :PAIR_BYTES] = raw
+    return out.view("<u8").ravel()
+
+
 class Block:
     """Tokens of a group of reports: distinct words and pairs, and each token's place in them."""
 
@@ -59,7 +77,7 @@ class Block:
             cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
                 rows.append((
-                    block, base + int(place[lo]), base == 0, keys[lo:hi].astype("<u8").tobytes(), count[lo:hi].tobytes()
+                    block, base + int(place[lo]), base == 0, _pack(keys[lo:hi], base == 0), count[lo:hi].tobytes()
                 ))
         types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
         return pa.Table.from_arrays(
@@ -69,12 +87,12 @@ class Block:
 
 def _sum_range(rows: pa.Table) -> pa.Table:
     """The corpus counts of one range, given back to each block in its own order."""
-    keys = [np.frombuffer(x, "<u8") for x in rows.column("keys").to_pylist()]
+    words = rows.column("is_word")[0].as_py()
+    keys = [_unpack(x, words) for x in rows.column("keys").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts).astype(np.float64), len(distinct)).astype("<u8")
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    words = rows.column("is_word")[0].as_py()
     n = len(keys)
     return pa.table({
         "block": rows.column("block"),
@@ -123,8 +141,9 @@ def score_reports(reports: DataFrame) -> DataFrame:
 
     * A null or empty report is just its end.  A null ``learn`` is false.
     * Without rows to learn from, counts are zero and base scores follow.
-    * All counts are exact sums over the corpus of 64-bit word hashes; what is
-      exchanged grows with the text and no task holds the whole model.
+    * All counts are sums over the whole corpus, words by 64-bit hashes and pairs
+      by 48 bits within a range of hashes; what is exchanged grows with the text
+      and no task holds the whole model.
     * Repeated rows are each scored (and each learnt from); an empty table
       gives an empty result; other columns are ignored.
     """
