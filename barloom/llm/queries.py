@@ -230,6 +230,47 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY item_id)
 SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles, count(*) / item_shingles AS containment
 FROM dg JOIN ig USING (g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+      WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) END) AS g
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s
+  FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * s >= 80 * (x.n + y.n - s)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)""",
+    "op6_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+         unnest(list_transform(range(1, len(w) - 48), lambda j: array_to_string(w[j:j + 49], ' '))) AS s
+  FROM d WHERE len(w) >= 50),
+src AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN src USING (s) WHERE m < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS k
+  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d)
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
