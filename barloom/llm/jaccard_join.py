@@ -27,7 +27,7 @@ from barloom.llm.components import components
 WORDS, PERCENT = 5, 80
 
 #: Shingles packed by a task before it deals them out, and wanted in one range.
-BLOCK, RANGE = 1 << 21, 1 << 22
+BLOCK, RANGE = 1 << 20, 1 << 22
 
 #: Reports from which a shingle is common, and how many common shingles are known: they
 #: go to the end of the order, the commonest last.  It changes costs, never results.
@@ -153,17 +153,22 @@ def _count_shared(key: tuple, rows: pa.Table) -> pa.Table:
         for own, names in zip(owners, classes):
             index = np.frombuffer(own, "<u2")
             many = index == _MANY
-            parts.append(np.where(many, len(marks), number[at : at + len(names)][np.where(many, 0, index)]))
+            number_of = number[at : at + len(names)][np.where(many, 0, index)]
+            parts.append(np.where(many, len(marks), number_of).astype(np.int32))
             at += len(names)
         owner = np.concatenate(parts)
-        entries = tokens.astype(np.uint64) << np.uint64(32) | np.arange(len(tokens), dtype=np.uint64)
-        entries.sort()
-        back = (entries & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], (entries[1:] ^ entries[:-1]) >> np.uint64(32) > 0]))
-        ordered = owner[back]
-        several = np.minimum.reduceat(ordered, head) != np.maximum.reduceat(ordered, head)
         shared = np.zeros(len(tokens), bool)
-        shared[back] = np.repeat(several, np.diff(np.append(head, len(entries))))
+        for eighth in range(8):  # a part at a time keeps the working arrays small
+            use = np.flatnonzero(tokens >> np.uint32(29) == eighth)
+            if not len(use):
+                continue
+            entries = tokens[use].astype(np.uint64) << np.uint64(32) | np.arange(len(use), dtype=np.uint64)
+            entries.sort()
+            back = use[(entries & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            head = np.flatnonzero(np.concatenate([[True], (entries[1:] ^ entries[:-1]) >> np.uint64(32) > 0]))
+            ordered = owner[back]
+            several = np.minimum.reduceat(ordered, head) != np.maximum.reduceat(ordered, head)
+            shared[back] = np.repeat(several, np.diff(np.append(head, len(entries))))
         shared &= owner < len(marks)
         out, at = [], 0
         for n in sizes:
