@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import unicodedata
@@ -17,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.common import byte_view, slices
 
-#: Pieces and words whose ids a worker remembers; either memory is emptied beyond that.
-PIECES, REMEMBERED = 300_000, 600_000
+#: Pieces and words in the younger half of a task's memory.
+PIECES, REMEMBERED = 120_000, 200_000
 
 #: Symbols up to which merging scans instead of keeping a heap.
 SHORT = 24
@@ -214,8 +213,28 @@ class Vocabulary:
         return [g if g is not None else self.exact(self.symbols(w + self.suffix)) for w, g in zip(words, guesses)]
 
 
+class Memory(dict):
+    """Two generations: what is asked for again survives when the younger one is full."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys: set) -> set:
+        """Of these keys the unknown ones; known old ones become young."""
+        absent = keys - self.keys()
+        if len(self) + len(absent) > self.size:
+            self.old = dict(self)
+            self.clear()
+            absent = keys
+        again = absent & self.old.keys()
+        old = self.old
+        self.update((k, old[k]) for k in again)
+        return absent - again
+
+
 class Encoder:
-    """Encodes texts in a worker; remembers the ids of blank-separated pieces."""
+    """Encodes texts in a task; remembers the ids of blank-separated pieces."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -224,8 +243,8 @@ class Encoder:
             "(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")"
         ) if vocabulary.special else None
         self.to_symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str | int, bytes] = {}
+        self.pieces: dict[bytes, bytes] = Memory(PIECES)
+        self.words: dict[str | int, bytes] = Memory(REMEMBERED)
 
     @staticmethod
     def _folded(text: str) -> str:
@@ -251,13 +270,9 @@ class Encoder:
 
     def learn(self, pieces: set[bytes]) -> None:
         """Fill the memory for pieces not seen before."""
-        if len(self.pieces) + len(pieces) > PIECES:
-            self.pieces.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         words = self.words
         parsed = [(raw, self._parts(raw.decode("utf-8", "replace"))) for raw in pieces]
-        new = list({p for _, parts in parsed for p in parts} - words.keys())
+        new = list(words.missing({p for _, parts in parsed for p in parts}))
         ids = [p for p in new if isinstance(p, int)]
         words.update((p, np.array([p], "<u4").tobytes()) for p in ids)
         new = [p for p in new if isinstance(p, str)]
@@ -272,24 +287,52 @@ class Encoder:
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # bytes split at blanks only
         known = self.pieces
-        fresh = set().union(*split) - known.keys()
-        if len(known) + len(fresh) > PIECES:
-            known.clear()
-            fresh = set().union(*split)
-        if fresh:
+        if fresh := known.missing(set().union(*split)):
             self.learn(fresh)
         return [b"".join([known[p] for p in words]) for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
+def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[pa.RecordBatch]:
+    data, offsets = byte_view(batch.column("report"))
+    ids = batch.column("report_id")
+    for lo, hi in slices(offsets):
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
+        yield pa.RecordBatch.from_arrays(
+            [ids.slice(lo, hi - lo), pa.array(encoder.encode_many(texts), pa.binary())],
+            ["report_id", "token_ids"],
+        )
+
+
+def _decoded(batch: pa.RecordBatch, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
+    binary = batch.column("token_ids").fill_null(b"").cast(pa.large_binary())
+    ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    flat = np.frombuffer(binary.buffers()[2] or b"", "<u4")
+    for lo, hi in slices(ends, 1 << 21):
+        ids = flat[ends[lo] // 4 : ends[hi] // 4]
+        inside = ids < len(tokens)
+        counts = np.concatenate([[0], np.cumsum(inside)])[(ends[lo : hi + 1] - ends[lo]) // 4]
+        lists = pa.LargeListArray.from_arrays(pa.array(counts, pa.int64()), tokens.take(pa.array(ids[inside])))
+        text = pc.binary_join(lists.cast(pa.list_(pa.string())), " ")
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("report_id").slice(lo, hi - lo),
+                batch.column("token_ids").slice(lo, hi - lo),
+                text,
+            ],
+            ["report_id", "token_ids", "decoded"],
+        )
+
+
+def token_texts(tokenizer_json: str) -> list[str | None]:
+    """The text of every id; None for an id that is not used."""
+    spec = json.loads(tokenizer_json)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {
+        t["id"]: t["content"] for t in spec["added_tokens"]
+    }
+    return [names.get(i) for i in range(max(names) + 1)]
 
 
-def encoder_of(digest: str, shared) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary; later tasks find its memory."""
-    if digest not in _encoders:
-        _encoders.clear()
-        _encoders[digest] = Encoder(shared.value)
-    return _encoders[digest]
+_DECODED = "report_id bigint, token_ids binary, decoded string"
 
 
 def encode_reports(reports: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -302,19 +345,11 @@ def encode_reports(reports: DataFrame, tokenizer_json: str) -> DataFrame:
     is broadcast.
     """
     shared = reports.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_json))
-    digest = hashlib.sha256(tokenizer_json.encode()).hexdigest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(digest, shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
-            data, offsets = byte_view(batch.column("report"))
-            ids = batch.column("report_id")
-            for lo, hi in slices(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(encoder.encode_many(texts), pa.binary())],
-                    ["report_id", "token_ids"],
-                )
+            yield from _encoded(batch, encoder)
 
     return reports.select("report_id", "report").mapInArrow(encode, "report_id bigint, token_ids binary")
 
@@ -326,35 +361,30 @@ def decode_tokens(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     token_ids, decoded``; no tokens (or null) give an empty text, ids outside
     the vocabulary are left out.
     """
-    spec = json.loads(tokenizer_json)
-    names = {i: t for t, i in spec["model"]["vocab"].items()} | {
-        t["id"]: t["content"] for t in spec["added_tokens"]
-    }
-    shared = encoded.sparkSession.sparkContext.broadcast([names.get(i) for i in range(max(names) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast(token_texts(tokenizer_json))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(shared.value, pa.string())
         for batch in batches:
-            binary = batch.column("token_ids").fill_null(b"").cast(pa.large_binary())
-            ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
-            flat = np.frombuffer(binary.buffers()[2] or b"", "<u4")
-            for lo, hi in slices(ends, 1 << 21):
-                ids = flat[ends[lo] // 4 : ends[hi] // 4]
-                inside = ids < len(tokens)
-                counts = np.concatenate([[0], np.cumsum(inside)])[(ends[lo : hi + 1] - ends[lo]) // 4]
-                lists = pa.LargeListArray.from_arrays(
-                    pa.array(counts, pa.int64()), tokens.take(pa.array(ids[inside]))
-                )
-                text = pc.binary_join(lists.cast(pa.list_(pa.string())), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("report_id").slice(lo, hi - lo),
-                        batch.column("token_ids").slice(lo, hi - lo),
-                        text,
-                    ],
-                    ["report_id", "token_ids", "decoded"],
-                )
-
-    return encoded.select("report_id", "token_ids").mapInArrow(
-        decode, "report_id bigint, token_ids binary, decoded string"
+            yield from _decoded(batch, tokens)
+
+    return encoded.select("report_id", "token_ids").mapInArrow(decode, _DECODED)
+
+
+def round_trip(reports: DataFrame, tokenizer_json: str) -> DataFrame:
+    """``encode_reports`` and ``decode_tokens`` of the ids, in one Python pass.
+
+    Two passes in a row keep two Python workers for each task.
+    """
+    shared = reports.sparkSession.sparkContext.broadcast(
+        (Vocabulary(tokenizer_json), token_texts(tokenizer_json))
     )
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, texts = shared.value
+        encoder, tokens = Encoder(vocabulary), pa.array(texts, pa.string())
+        for batch in batches:
+            for part in _encoded(batch, encoder):
+                yield from _decoded(part, tokens)
+
+    return reports.select("report_id", "report").mapInArrow(both, _DECODED)

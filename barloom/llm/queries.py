@@ -147,9 +147,7 @@ def word_vocabulary() -> str:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = word_vocabulary()
-    encoded = bpe.encode_reports(as_reports(table(spark, sf_dir, "documents")), vocabulary)
-    return bpe.decode_tokens(encoded, vocabulary).select(
+    return bpe.round_trip(as_reports(table(spark, sf_dir, "documents")), word_vocabulary()).select(
         F.col("report_id").alias("doc_id"),
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -19,6 +19,8 @@ def vocabulary():
 def run(spark, rows, vocabulary, schema=SCHEMA):
     encoded = bpe.encode_reports(spark.createDataFrame(rows, schema), vocabulary)
     out = bpe.decode_tokens(encoded, vocabulary).collect()
+    once = bpe.round_trip(spark.createDataFrame(rows, schema), vocabulary).collect()
+    assert sorted(map(tuple, once)) == sorted(map(tuple, out))
     return [(r.report_id, np.frombuffer(r.token_ids, "<u4").tolist(), r.decoded) for r in out]
 
 
