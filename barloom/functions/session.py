@@ -7,9 +7,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-import barloom
 from pyspark.sql import SparkSession
 
+import barloom
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Turn off constraint propagation for the session.

@@ -36,6 +36,7 @@ SEVERITY = {
     "zero_volume": "warning",
     "extreme_returns": "warning",
 }
+#: Tolerated absent weekdays a year, example dates of a finding.
 HOLIDAYS_PER_YEAR = 12
 EXAMPLES = 5
 

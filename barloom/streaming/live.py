@@ -25,9 +25,9 @@ from barloom.sources.logs import (
     read_log,
 )
 
+#: The market's zone and hour of close; bars of the tail, least bars of a symbol, largest believable daily return.
 MARKET_TZ = "America/New_York"
 CLOSE_HOUR = 16
-#: Bars of the tail, least bars of a symbol, largest believable daily return.
 TAIL_BARS = 400
 MIN_BARS = 100
 SANITY_BOUND = 0.10
