@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from barloom.llm.common import byte_view, slices
 
-#: Pieces and words in the younger half of a task's memory.
-PIECES, REMEMBERED = 120_000, 200_000
+#: Entries in the younger half of a task's memory of pieces, and of words.
+MEMORY = 100_000
 
 #: Symbols up to which merging scans instead of keeping a heap.
 SHORT = 24
@@ -236,15 +236,15 @@ class Memory(dict):
 class Encoder:
     """Encodes texts in a task; remembers the ids of blank-separated pieces."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY):
         self.vocabulary = vocabulary
         self.find = regex.compile(vocabulary.pattern).findall
         self.cut = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")"
         ) if vocabulary.special else None
         self.to_symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
-        self.pieces: dict[bytes, bytes] = Memory(PIECES)
-        self.words: dict[str | int, bytes] = Memory(REMEMBERED)
+        self.pieces: dict[bytes, bytes] = Memory(memory)
+        self.words: dict[str | int, bytes] = Memory(memory * 8 // 5)
 
     @staticmethod
     def _folded(text: str) -> str:
@@ -295,7 +295,7 @@ class Encoder:
 def _encoded(batch: pa.RecordBatch, encoder: Encoder) -> Iterator[pa.RecordBatch]:
     data, offsets = byte_view(batch.column("report"))
     ids = batch.column("report_id")
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, 1 << 20):
         texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
         yield pa.RecordBatch.from_arrays(
             [ids.slice(lo, hi - lo), pa.array(encoder.encode_many(texts), pa.binary())],
@@ -371,10 +371,11 @@ def decode_tokens(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     return encoded.select("report_id", "token_ids").mapInArrow(decode, _DECODED)
 
 
-def round_trip(reports: DataFrame, tokenizer_json: str) -> DataFrame:
+def round_trip(reports: DataFrame, tokenizer_json: str, memory: int = MEMORY) -> DataFrame:
     """``encode_reports`` and ``decode_tokens`` of the ids, in one Python pass.
 
-    Two passes in a row keep two Python workers for each task.
+    Two passes in a row keep two Python workers for each task.  ``memory`` trades
+    time for the size of a worker, which matters among other stages.
     """
     shared = reports.sparkSession.sparkContext.broadcast(
         (Vocabulary(tokenizer_json), token_texts(tokenizer_json))
@@ -382,7 +383,7 @@ def round_trip(reports: DataFrame, tokenizer_json: str) -> DataFrame:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, texts = shared.value
-        encoder, tokens = Encoder(vocabulary), pa.array(texts, pa.string())
+        encoder, tokens = Encoder(vocabulary, memory), pa.array(texts, pa.string())
         for batch in batches:
             for part in _encoded(batch, encoder):
                 yield from _decoded(part, tokens)

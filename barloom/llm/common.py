@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +22,11 @@ BLANKS = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 18
 
 
+#: The C library where it can trim its heap (glibc).
+_libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+_libc = _libc if hasattr(_libc, "malloc_trim") else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -67,8 +74,20 @@ def narrowed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     )
 
 
+def release_memory() -> None:
+    """Give memory freed since the last batch back to the system.
+
+    Python workers live on from stage to stage; without this each keeps the
+    most that any batch of any stage needed.
+    """
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets; null is empty."""
+    release_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

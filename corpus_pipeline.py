@@ -52,7 +52,7 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and a digest of the text they decode to."""
-    return bpe.round_trip(as_reports(docs), word_vocabulary()).select(
+    return bpe.round_trip(as_reports(docs), word_vocabulary(), memory=50_000).select(
         F.col("report_id").alias("doc_id"),
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
         "token_ids",
