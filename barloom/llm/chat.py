@@ -6,7 +6,9 @@ interface is general: ``record_id`` and a JSON ``payload``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,41 +16,87 @@ from pyspark.sql import functions as F
 OPEN, SHUT, CLOSE = "<turn ", ">", "</turn>"
 
 
+#: Bytes up to which a variant takes any payload; it ends at 20,000,000 characters of a string and 128 MiB.
+PLAIN = OUTLINE = 1 << 24
+
+
 @dataclass(frozen=True)
 class Layout:
-    """A known layout: its nested field paths and the SQL that reads its turns from ``v``."""
+    """A known layout: its nested field paths and the SQL that reads its turns.
+
+    ``turns`` reads them from the variant ``v``, ``long_turns`` from the typed
+    fields ``long`` beside those of the outline, ``bare``.
+    """
 
     name: str
     paths: str
     turns: str
+    long_turns: str
 
 
 def _message(role: str, text: str) -> str:
     return f"transform({{array}}, m -> named_struct('role', m.{role}, 'text', m.{text}))"
 
 
-def _messages(path: str, role: str, text: str) -> str:
+def _long_text(path: str, bare: str) -> str:
+    """A string as it is (the outline has emptied it), anything else as a variant prints it."""
+    scalar = f"CAST({bare} AS STRING)"
+    nested = f"coalesce(CAST(try_parse_json({path}) AS STRING), {path})"
+    return f"CASE WHEN {scalar} = '' THEN {path} WHEN left({scalar}, 1) IN ('{{', '[') THEN {nested} ELSE {scalar} END"
+
+
+def _messages(path: str, role: str, text: str) -> tuple[str, str]:
     kind = f"array<struct<{role}:string,{text}:string>>"
-    return _message(f"`{role}`", f"`{text}`").format(array=f"variant_get(v, '$.{path}', '{kind}')")
+    r, t = (_long_text(f"m.`{x}`", f"bare.`{path}`[i].`{x}`") for x in (role, text))
+    return (
+        _message(f"`{role}`", f"`{text}`").format(array=f"variant_get(v, '$.{path}', '{kind}')"),
+        f"transform(long.`{path}`, (m, i) -> named_struct('role', {r}, 'text', {t}))",
+    )
+
 
+def _fields(*pairs: tuple[str, str]) -> tuple[str, str]:
+    def turns(text: Callable[[str], str]) -> str:
+        return "array(" + ", ".join(f"named_struct('role', '{role}', 'text', {text(path)})" for role, path in pairs) + ")"
 
-def _fields(*pairs: tuple[str, str]) -> str:
-    return "array(" + ", ".join(
-        f"named_struct('role', '{role}', 'text', variant_get(v, '$.{path}', 'string'))" for role, path in pairs
-    ) + ")"
+    return (
+        turns(lambda path: f"variant_get(v, '$.{path}', 'string')"),
+        turns(lambda path: _long_text(f"long.`{path}`", f"bare.`{path}`")),
+    )
 
 
 #: Known layouts. The paths are written as ``field_paths`` prints them.
 LAYOUTS = (
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _messages("messages", "role", "content")),
-    Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _messages("conversations", "from", "value")),
-    Layout("prompt", "OBJECT<completion, prompt>", _fields(("user", "prompt"), ("assistant", "completion"))),
-    Layout("response", "OBJECT<prompt, response>", _fields(("user", "prompt"), ("assistant", "response"))),
-    Layout("instruction", "OBJECT<instruction, output>", _fields(("user", "instruction"), ("assistant", "output"))),
-    Layout("system_instruction", "OBJECT<input, output, system>", _fields(("system", "system"), ("user", "input"), ("assistant", "output"))),
+    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", *_messages("messages", "role", "content")),
+    Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", *_messages("conversations", "from", "value")),
+    Layout("prompt", "OBJECT<completion, prompt>", *_fields(("user", "prompt"), ("assistant", "completion"))),
+    Layout("response", "OBJECT<prompt, response>", *_fields(("user", "prompt"), ("assistant", "response"))),
+    Layout("instruction", "OBJECT<instruction, output>", *_fields(("user", "instruction"), ("assistant", "output"))),
+    Layout("system_instruction", "OBJECT<input, output, system>", *_fields(("system", "system"), ("user", "input"), ("assistant", "output"))),
 )
 
 
+#: The fields of all layouts, and what keeps Spark's typed JSON reader as strict as a variant, without a bound on strings.
+SINGLE = ("prompt", "completion", "response", "instruction", "system", "input", "output")
+FIELDS = (
+    "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, "
+    + ", ".join(f"{x} string" for x in SINGLE)
+)
+READER = {"maxStringLen": str((1 << 31) - 1), "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "__bad"}
+
+#: The inside of a JSON string; possessive, so that its length costs no stack.
+_INSIDE = r'(?:[^"\\]++|\\.)*+'
+
+
+def outline(payload: Column) -> Column:
+    """JSON with its string values emptied: names, nesting and other scalars stay."""
+    return F.regexp_replace(payload, rf'(?s)("{_INSIDE}"\s*+:)|("){_INSIDE}(")', "$1$2$3")
+
+
+def _collapsed(bare: Column) -> Column:
+    """An outline in which a run of equal objects is one; it has the same field paths."""
+    return F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def field_paths(v: Column) -> Column:
     """The nested field names of a variant, sorted, without the scalar types."""
     return F.regexp_replace(F.schema_of_variant(v), r": [A-Z_]+(\([0-9, ]+\))?(?=[,>])", "")
@@ -84,15 +132,44 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     declarative mapping that reads its turns.  A payload that is null, not JSON
     or of an unknown layout keeps its row, with a null layout and no turns; a
     null text is empty, a null role ``user``.
+
+    Of payloads over ``PLAIN`` bytes only the outline becomes a variant; their
+    texts are read as typed fields, as long as a string of Spark can be.  Where
+    even the outline is too large for a variant the query fails instead of
+    losing turns.
     """
-    known = records.select("record_id", F.try_parse_json("payload").alias("v")).withColumn(
-        "fingerprint", fingerprint(field_paths(F.col("v")))
+    large = F.octet_length("payload") > PLAIN
+    kept = records.select(
+        "record_id",
+        F.when(~large, F.col("payload")).alias("plain"),
+        F.from_json(F.when(large, F.col("payload")), FIELDS + ", __bad string", READER).alias("long"),
+        outline(F.when(large, F.col("payload"))).alias("outline"),
+    ).select(
+        "record_id", "plain", "long", F.from_json("outline", FIELDS.replace("string", "variant"), READER).alias("bare"),
+        _collapsed(F.col("outline")).alias("short"),
+    )
+    parsed = kept.withColumn("v", F.try_parse_json(F.coalesce("plain", "short"))).withColumn(
+        "paths", field_paths(F.col("v"))
+    )
+    texts = [F.col(f"long.{x}").isNotNull() for x in ("messages", "conversations", *SINGLE)]
+    lost = F.col("v").isNull() & reduce(Column.__or__, texts) & (F.octet_length("short") > OUTLINE)
+    # the outline does not show what is wrong inside a string
+    broken = F.col("long.__bad").isNotNull() & F.col("paths").isin([x.paths for x in LAYOUTS])
+    known = parsed.withColumn(
+        "fingerprint",
+        F.when(lost, F.raise_error(F.lit("a chat record's outline is too large to read")).cast("bigint")).otherwise(
+            fingerprint(F.when(broken, None).otherwise(F.col("paths")))
+        ),
     )
     layout, turns = F.lit(None).cast("string"), F.expr("CAST(NULL AS array<struct<role:string,text:string>>)")
     for known_layout in reversed(LAYOUTS):
         hit = F.col("fingerprint") == fingerprint(F.lit(known_layout.paths))
         layout = F.when(hit, F.lit(known_layout.name)).otherwise(layout)
-        turns = F.when(hit, F.expr(known_layout.turns)).otherwise(turns)
+        turns = (
+            F.when(hit & F.col("plain").isNotNull(), F.expr(known_layout.turns))
+            .when(hit, F.expr(known_layout.long_turns))
+            .otherwise(turns)
+        )
     clean = F.transform(
         F.coalesce(turns, F.expr("CAST(array() AS array<struct<role:string,text:string>>)")),
         lambda t: F.struct(

@@ -59,3 +59,44 @@ def test_any_text_comes_back(spark):
     for i, r in run(spark, rows).items():
         assert [tuple(t) for t in r.turns] == want[i]
         assert r.masked == "".join(t for role, t in want[i] if role == "assistant")
+
+
+def test_payloads_that_no_variant_takes(spark, tmp_path):
+    def repeated(text, n):
+        return F.repeat(F.lit(text), F.col("record_id").cast("int") * 0 + n)  # no constant, so that plans stay small
+
+    def message(role, text):
+        return F.struct(F.lit(role).alias("role"), text.alias("content"))
+
+    long, many = repeated('ab\\"', 6_250_000), repeated("0123456789", 1_500_000)
+    payloads = [
+        F.to_json(F.struct(F.array(message("user", F.lit("a")), message("assistant", long)).alias("messages"))),
+        F.to_json(F.struct(F.array_repeat(message("assistant", many), 10).alias("messages"))),
+        F.to_json(F.struct(long.alias("prompt"), F.lit("b").alias("completion"))),
+        F.concat(F.lit('{"prompt": "'), long, F.lit('\\x", "completion": "b"}')),
+    ]
+    want = [("messages", 2, 25_000_001), ("messages", 10, 150_000_000), ("prompt", 2, 25_000_001), (None, 0, 0)]
+    for k, (payload, known) in enumerate(zip(payloads, want)):
+        path = str(tmp_path / str(k))
+        spark.range(1).select(F.col("id").alias("record_id")).withColumn("payload", payload).write.parquet(path)
+        chars = F.expr("aggregate(turns, 0L, (n, t) -> n + length(t.text))")
+        assert tuple(chat.canonical_turns(spark.read.parquet(path)).select("layout", F.size("turns"), chars).first()) == known
+
+
+def test_long_way_reads_what_the_variant_reads(spark, monkeypatch):
+    texts = ["", "x", "a\\b\"c", "}{][,:\\", '"role":', "é🙂\n\t", '{"a": ""}', "null", "<turn user>"]
+    rows = [json.dumps({"messages": [{"role": r, "content": t} for t in texts for r in ("user", "assistant")]})]
+    rows += [json.dumps({"messages": [{"role": "user", "content": "a"}] * 50}, ensure_ascii=a, indent=i) for a in (True, False) for i in (None, 2)]
+    rows += [json.dumps({"conversations": [{"value": t, "from": None}, {"from": "assistant"}, None]}) for t in texts]
+    rows += [json.dumps({"prompt": t, "completion": u}) for t in texts for u in (None, 1.5, 10, True, "b")]
+    rows += ['{"prompt": 1e3, "completion": 1.50}', '{"prompt": "a", "prompt": "b", "completion": "c"}', "", "{", None,
+             "{'prompt': 'a', 'completion': 'b'}", '{"prompt": "\\x", "completion": "b"}', '{"prompt": NaN, "completion": "b"}',
+             '{"prompt": "a\nb", "completion": "b"}', '{"messages": []}', '{"messages": ["a"]}', '{"messages": "a"}', "[1, 2]", '"a"',
+             '{"messages": [{"role": "user", "content": "a", "more": 1}]}', '{"prompt": ["a"], "completion": "b"}',
+             '{"messages": [{"role": "user", "content": "a"}, {"role": "user", "content": {"b": "c", "a": [1.0, "d"]}}]}',
+             '{"mess\\u0061ges": [{"role": "user", "content": "\\u00e9"}]}', '{"input": "a", "output": "b", "system": null} x']
+    frame = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    want = {r.record_id: r for r in chat.format_chats(frame).collect()}
+    monkeypatch.setattr(chat, "PLAIN", -1)
+    got = {r.record_id: r for r in chat.format_chats(frame).collect()}
+    assert got == want and sum(r.layout is not None for r in want.values()) > 60
