@@ -20,34 +20,62 @@ from barloom.llm.queries import word_vocabulary
 LEAST_SCORE = 0.3
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not among those that go."""
-    return docs.join(stored(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents with ``row_id``, a number of the row that never changes, in the order of the ids (null last).
+
+    Where every document has an id of its own this is the number; else rows are
+    numbered and written once.
+    """
+    odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if odd.isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id"))
+    place = F.monotonically_increasing_id()
+    return stored(
+        docs.withColumn("row_id", place)
+        .orderBy(F.col("doc_id").asc_nulls_last(), "row_id")
+        .withColumn("row_id", place)
+    )
+
+
+def _as(numbered: DataFrame, name: str) -> DataFrame:
+    """Numbered documents whose number stands for their id, under ``name``."""
+    return numbered.drop("doc_id").withColumnRenamed("row_id", name)
+
+
+def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose row is not among those that go, without the number."""
+    gone = stored(gone.toDF("row_id").distinct())
+    return numbered.join(gone, "row_id", "left_anti").select([c for c in numbered.columns if c != "row_id"])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or whose language stays open."""
-    texts = docs.select(F.col("doc_id").alias("text_id"), "text", "lang")
+    docs = _numbered(docs)
+    texts = _as(docs, "text_id").select("text_id", "text", "lang")
     found = language_id.identify(texts, language_id.train(texts))
     rejected = found.where((F.col("lang") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE))
-    return _without(docs, rejected.select(F.col("text_id").alias("doc_id")))
+    return _without(docs, rejected.select("text_id"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
-    found = exact_dedup.exact_duplicates(as_reports(docs)).where("NOT kept")
-    return _without(docs, found.select(F.col("report_id").alias("doc_id")))
+    docs = _numbered(docs)
+    found = exact_dedup.exact_duplicates(as_reports(_as(docs, "doc_id"))).where("NOT kept")
+    return _without(docs, found.select("report_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of linked documents."""
-    found = jaccard_join.near_duplicates(as_reports(docs)).where("report_id <> component_id")
-    return _without(docs, found.select(F.col("report_id").alias("doc_id")))
+    docs = _numbered(docs)
+    found = jaccard_join.near_duplicates(as_reports(_as(docs, "doc_id"))).where("report_id <> component_id")
+    return _without(docs, found.select("report_id"))
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    return _without(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")))
+    docs = _numbered(docs)
+    found = decontaminate.contained_items(_as(docs, "doc_id"), table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,28 @@ def test_run_and_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_rows_go_by_row(spark):
+    """Repeated rows, ids shared by different texts, and null ids, by row counts."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    stages = dict(corpus_pipeline.STAGES)
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+
+    def left(name, rows):
+        frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], columns).repartition(3)
+        out = stages[name](spark, frame, SF)
+        assert out.columns == frame.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    a, b = "the first clean text of this table here", "quite another one that nobody else has written"
+    near = " ".join(f"w{i}" for i in range(60))
+    assert left("language_id", [(1, a), (1, "12 34"), (None, b), (None, "56"), (None, None)]) == [(1, a), (None, b)]
+    assert left("exact_dedup", [(1, a), (1, a), (2, b), (2, a), (None, b), (None, b), (None, leak)]) == [
+        (1, a), (2, b), (None, leak)]
+    assert left("jaccard_join", [(3, near), (3, near), (1, near + " x"), (3, a), (None, near), (None, b)]) == [
+        (1, near + " x"), (3, a), (None, b)]
+    leaking = f"Before this. {leak} and after it"
+    assert left("decontamination", [(1, a), (1, leaking), (None, b), (None, leaking), (2, a), (2, a)]) == [
+        (1, a), (2, a), (2, a), (None, b)]
+    assert len(stages["bpe"](spark, spark.createDataFrame([(1, a), (1, b), (None, a)], "doc_id bigint, text string"), SF).collect()) == 3
