@@ -16,8 +16,8 @@ from barloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_
 from barloom.llm.common import as_reports, stored, table
 from barloom.llm.queries import word_vocabulary
 
-#: Mean probability below which no language is accepted: hardly above chance for four.
-LEAST_SCORE = 0.3
+#: Times chance (one over the learned languages) below which no language is accepted: 0.3 for four, 0.6 for two.
+LEAST_ODDS = 1.2
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -48,12 +48,20 @@ def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
     return numbered.join(gone, "row_id", "left_anti").select([c for c in numbered.columns if c != "row_id"])
 
 
+def least_score(languages: int) -> float:
+    """The least mean probability for so many learned languages; one alone is never open."""
+    return LEAST_ODDS / languages if languages > 1 else 0.0
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or whose language stays open."""
     docs = _numbered(docs)
     texts = _as(docs, "text_id").select("text_id", "text", "lang")
-    found = language_id.identify(texts, language_id.train(texts))
-    rejected = found.where((F.col("lang") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE))
+    network = language_id.train(texts)
+    found = language_id.identify(texts, network)
+    rejected = found.where(
+        (F.col("lang") == language_id.UNKNOWN) | (F.col("score") < least_score(len(network.labels) if network else 0))
+    )
     return _without(docs, rejected.select("text_id"))
 
 

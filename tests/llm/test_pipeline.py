@@ -57,6 +57,21 @@ def test_run_and_empty_table(spark, tmp_path):
     assert docs.count() == 0
 
 
+def test_least_score_follows_the_number_of_languages(spark, monkeypatch):
+    language_id = corpus_pipeline.language_id
+    docs = spark.createDataFrame([(i, "text", "a") for i in range(4)], "doc_id bigint, text string, lang string")
+    # mean probabilities of the four texts
+    for languages, scores, kept in (
+        (1, (1.0, 1.0, 1.0, 1.0), {0, 1, 2, 3}), (2, (0.5, 0.55, 0.65, 1.0), {2, 3}), (4, (0.25, 0.29, 0.3, 0.9), {2, 3}),
+        (40, (0.025, 0.028, 0.04, 0.2), {2, 3}),
+    ):
+        network = language_id.Network.fresh([f"l{k:02}" for k in range(languages)])
+        found = spark.createDataFrame(list(zip(range(4), ["l00"] * 4, scores)), "text_id bigint, lang string, score double")
+        monkeypatch.setattr(language_id, "train", lambda texts: network)
+        monkeypatch.setattr(language_id, "identify", lambda texts, net: found)
+        assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == kept
+
+
 def test_rows_go_by_row(spark):
     """Repeated rows, ids shared by different texts, and null ids, by row counts."""
     columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
