@@ -7,6 +7,8 @@ zero denominator yields NULL under ANSI mode instead of an error.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def finite(x: str | Column) -> Column:
     return F.when(F.isnan(x) | is_infinite(x), None).otherwise(x)
 
 
+def scratch(taken: Sequence[str], *names: str) -> list[str]:
+    """Names for working columns that no column in ``taken`` has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 # ------------------------------------------------------------- aggregates
 
 
