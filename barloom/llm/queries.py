@@ -14,6 +14,7 @@ from barloom.llm import (
     language_id,
     language_model,
     personal_data,
+    record_queries,
     sharding,
     substring_dedup,
 )
@@ -195,7 +196,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_lm_scoring": op10_lm_scoring,
-}
+} | record_queries.QUERIES
 
 ORACLES = {
     "op2_chat_format": r"""
@@ -278,4 +279,4 @@ g AS (
   FROM d GROUP BY plain)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256
 FROM d JOIN g USING (plain)""",
-}
+} | record_queries.ORACLES
