@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import positions
-from barloom.llm import merkle, prefix_trie
-from barloom.llm.common import table
+from barloom.llm import merkle, prefix_trie, suffix_family
+from barloom.llm.common import as_reports, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,6 +17,14 @@ def id_crc(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_family.remove_repeated_bytes(as_reports(table(spark, sf_dir, "documents")))
+    return cut.select(
+        F.col("report_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The conversations of the contract as parts, and all their ids.
 
@@ -62,11 +70,36 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_suffix_array": op11_suffix_array,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
+    "op11_suffix_array": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+chunk AS (
+  SELECT doc_id, o, substr(x, 2 * o + 1, 2 * 1049) AS c
+  FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, 1000)) AS o FROM d)),
+win AS (
+  SELECT doc_id, o + i AS p, substr(c, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, o, c, unnest(range(0, least(1000, len(c) // 2 - 49))) AS i FROM chunk)),
+src AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM win JOIN src USING (s) WHERE m < doc_id),
+run AS (
+  SELECT doc_id, min(p) AS b, max(p) + 50 AS e
+  FROM (SELECT doc_id, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit)
+  GROUP BY doc_id, r),
+around AS (
+  SELECT doc_id, e AS b, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS e FROM run
+  UNION ALL SELECT doc_id, 0, min(b) FROM run GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * b + 1, 2 * (coalesce(e, len(x) // 2) - b)), '' ORDER BY b) AS k
+  FROM around JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op12_prefix_trie": """
 WITH RECURSIVE polynomial(i, c, k) AS (
   SELECT range, range, 0 FROM range(256)
