@@ -43,3 +43,27 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as Parquet files by hash of ``key``: joins and groups on it need no exchange of these rows.
+
+    Rows are shuffled once and every bucket is one file, with small row groups
+    where rows are large.  The catalog entry that tells the reader about the
+    buckets is dropped at once; the files stay below the checkpoint folder.
+    """
+    spark = df.sparkSession
+    name = f"barloom_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .write.format("parquet")
+        .bucketBy(buckets, key)
+        .option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-buckets/{name}")
+        .option("compression", "zstd")
+        .option("parquet.block.size", 1 << 24)
+        .saveAsTable(name)
+    )
+    out = spark.table(name)
+    out.schema  # resolved while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
