@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import byte_view, narrowed, runs_of, slices, stored, word_hashes
@@ -330,6 +330,22 @@ def _prefixes(order, percent: int, times: int = 1):
     return emit
 
 
+def _family_edges(lists: DataFrame, heads: DataFrame) -> DataFrame:
+    """Edges that join the reports of every list: a report with its smallest head, heads with one another.
+
+    The head of a list is its smallest report.  A report has one edge of its
+    own; further heads of its lists are linked to the smallest of them, and near
+    copies, which share their lists, repeat these links.
+    """
+    headed = lists.join(heads, "token").select("report_id", "lo").distinct().withColumn(
+        "least", F.min("lo").over(Window.partitionBy("report_id"))
+    )
+    return headed.select(
+        F.explode(F.array(F.struct(F.col("report_id").alias("a"), F.col("least").alias("b")),
+                          F.struct(F.col("lo").alias("a"), F.col("least").alias("b")))).alias("e")
+    ).select("e.*").where("a <> b").distinct()
+
+
 def _relabel(belongs: DataFrame, found: DataFrame) -> DataFrame:
     merged = components(found)
     return stored(
@@ -478,8 +494,7 @@ def near_duplicates(reports: DataFrame) -> DataFrame:
         lists.groupBy("token").agg(F.min("report_id").alias("lo"), F.max("report_id").alias("hi"))
         .where("lo < hi").select("token", "lo")
     )
-    star = lists.join(heads, "token").select(F.col("report_id").alias("a"), F.col("lo").alias("b"))
-    family = components(star.distinct())
+    family = components(_family_edges(lists, heads))
     sizes = lists.groupBy("report_id").agg(F.max("n").alias("n"), F.min("token").alias("least"))
     families = stored(
         sizes.join(family, sizes.report_id == family.node).select(

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from barloom.llm import components as component_search
 from barloom.llm import jaccard_join
 from barloom.llm.queries import op5_jaccard_join
 from tests.llm.brute import components
@@ -74,3 +75,59 @@ def test_divide_skip_counts_like_intersection():
         if 100 * common >= 80 * (len(query) + len(m) - common):
             want[i] = common
     assert dict(jaccard_join.divide_skip(query, jaccard_join.Lists(members))) == want
+
+
+def test_join_rows_stay_proportional_to_the_lists(spark, monkeypatch):
+    """Edges of a family of near copies, and what contraction joins, per row of the inverted lists."""
+    rng = random.Random(9)
+    shares = []
+    for size in (100, 500, 2500):
+        base = rng.choices([f"w{i}" for i in range(3000)], k=60)
+        lists = []
+        for n in range(size):
+            words = list(base)
+            for _ in range(3):
+                words[rng.randrange(60)] = rng.choice(base)
+            tokens = sorted({hash(tuple(words[j : j + 5])) % 100003 for j in range(56)})[:12]
+            lists += [(t, n, 56) for t in tokens]
+        df = spark.createDataFrame(lists, "token bigint, report_id bigint, n bigint")
+        heads = df.groupBy("token").agg({"report_id": "min"}).withColumnRenamed("min(report_id)", "lo").join(
+            df.groupBy("token").count().where("count > 1").select("token"), "token"
+        )
+        edges = jaccard_join._family_edges(df, heads).persist()
+        joined = []
+        plain = component_search.stored
+
+        def counted(frame):
+            out = plain(frame)
+            if out.columns == ["a", "b"]:
+                joined.append(out.count())
+            return out
+
+        monkeypatch.setattr(component_search, "stored", counted)
+        roots = {r["root"] for r in component_search.components(edges).collect()}
+        monkeypatch.setattr(component_search, "stored", plain)
+        assert len(roots) == 1
+        shares.append(sum(joined) / len(lists))
+        edges.unpersist()
+    assert max(shares) < 2 and shares[2] < 1.5 * shares[0]
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rng = random.Random(2)
+    graphs = [[(i, i + 1) for i in range(60)], [(i, 60) for i in range(60)], [], [(3, 3)]]
+    graphs += [[(rng.randrange(50), rng.randrange(50)) for _ in range(k)] for k in (10, 40)]
+    for edges in graphs:
+        root = {}
+
+        def find(i):
+            while root.setdefault(i, i) != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            if a != b:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        found = component_search.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert {r["node"]: r["root"] for r in found} == {i: find(i) for i in root}
