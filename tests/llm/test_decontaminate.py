@@ -11,7 +11,7 @@ def run(spark, docs, items, more=""):
         spark.createDataFrame([(*d, *extra) for d in docs], DOCS + more),
         spark.createDataFrame([(*i, *extra) for i in items], ITEMS + more),
     ).collect()
-    return sorted((r.doc_id, r.item_id, r.shared_shingles, r.item_shingles) for r in out)
+    return sorted(((r.doc_id, r.item_id, r.shared_shingles, r.item_shingles) for r in out), key=str)
 
 
 def brute(docs, items):
@@ -28,7 +28,7 @@ def brute(docs, items):
             s = len(g & grams(b, min(5, len(a))))
             if 100 * s >= 80 * len(g):
                 out[d, i] = max(out.get((d, i), (0, 0)), (s, len(g)))
-    return sorted((d, i, s, n) for (d, i), (s, n) in out.items())
+    return sorted(((d, i, s, n) for (d, i), (s, n) in out.items()), key=str)
 
 
 def test_whole_table(spark):
@@ -54,3 +54,22 @@ def test_edges(spark):
     assert run(spark, docs, items[:5], ", k int, mark string") == brute(docs, items[:5])
     assert run(spark, docs, []) == [] and run(spark, [], items) == []
     assert [r[:2] for r in run(spark, docs, items) if r[0] == 9] == [(9, 1), (9, 6)]
+
+
+def test_rows_without_an_id_are_found(spark):
+    item = "one two three four five six seven"
+    docs = [(None, "x " + item), (None, "clean"), (1, item + " y"), (2, "clean")]
+    got = run(spark, docs, [(5, item), (None, "two three four")])
+    assert sorted(got, key=str) == sorted([(None, 5, 3, 3), (1, 5, 3, 3), (None, None, 1, 1), (1, None, 1, 1)], key=str)
+
+
+def test_every_size_class_is_asked_by_its_own_bound(spark):
+    words = [f"w{k}" for k in range(600)]
+    items = [(n, " ".join(words[: n + 4])) for n in (1, 2, 3, 9, 40, 150, 500)] + [(1000, "w0"), (1001, "w3 w4")]
+    docs = [(n, " ".join(words[:n])) for n in (1, 4, 5, 7, 12, 30, 45, 130, 420, 600)]
+    assert run(spark, docs, items) == brute(docs, items)
+    marked = spark.createDataFrame(
+        [(i, t.split(), min(5, len(t.split()))) for i, t in items], "item bigint, w array<string>, k int"
+    ).selectExpr("item", "k", "transform(w, x -> xxhash64(x)) AS marks")
+    kept = decontaminate.item_sketches(marked).groupBy("k", "size_class").agg({"bound": "min", "mark": "max"}).collect()
+    assert len(kept) > 5 and all(r["min(bound)"] == r["max(mark)"] for r in kept)
