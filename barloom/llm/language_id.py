@@ -11,16 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import first_n
 from barloom.llm.common import byte_view, slices
 
 #: Bytes of a window, filter widths, filters of each width, and values of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, DEPTH = 256, (2, 3, 4), 16, 6
 
-#: Bound of the labelled sample, over all languages, and characters of each sampled text.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 1024
+#: Bound of the labelled sample, over all languages; of each sampled text this many windows over its whole length are learnt.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 6000, 4
 
 UNKNOWN = "und"
 
@@ -91,8 +92,33 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, owner, size
 
 
-def fit(texts: list[bytes], langs: list[str], epochs: int = 8, seed: int = 0) -> Network | None:
-    """Train on windows of labelled texts; every language has the same total weight."""
+def gradients(net: Network, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the weighted mean cross entropy of windows ``x``, in the order of the network's arrays.
+
+    The embedding of the zero byte, which fills short windows, stays zero.
+    """
+    n, run = len(x), max(WIDTHS)
+    cols, conv, pool = net.pooled(x)
+    z = pool @ net.out + net.out_bias
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(n), target] -= 1
+    z *= (weight / n)[:, None]
+    d_pool = (z @ net.out.T) * (pool > 0)
+    best = conv.argmax(axis=1)
+    hit = cols[np.arange(n)[:, None], best]  # text, filter, run
+    d_filters = np.einsum("nfr,nf->rf", hit, d_pool) * _reach()
+    d_hit = d_pool[:, :, None] * net.filters.T[None]
+    d_embed = np.zeros_like(net.embed)
+    for j in range(run):
+        byte = x[np.arange(n)[:, None], best + j]
+        np.add.at(d_embed, byte.ravel(), d_hit[:, :, j * DEPTH : (j + 1) * DEPTH].reshape(-1, DEPTH))
+    d_embed[0] = 0
+    return [d_embed, d_filters, d_pool.sum(axis=0), pool.T @ z, z.sum(axis=0)]
+
+
+def fit(texts: list[list[bytes]], langs: list[str], epochs: int = 8, seed: int = 0) -> Network | None:
+    """Train on windows of labelled texts, each given as pieces; every language has the same total weight."""
     labels = sorted(set(langs))
     if not labels:
         return None
@@ -104,7 +130,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 8, seed: int = 0) ->
     weight = (len(target) / (len(labels) * np.bincount(target)))[target].astype(np.float32)
     params = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    reach, run, t = _reach(), max(WIDTHS), 0
+    t = 0
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         order = rng.permutation(len(texts))
@@ -112,62 +138,57 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 8, seed: int = 0) ->
             pick = order[lo : lo + 64]
             x = np.zeros((len(pick), WINDOW), np.uint8)
             for k, i in enumerate(pick):
+                text = texts[i][int(rng.integers(len(texts[i])))]
                 # windows of any length, so that short texts are learnt as well
                 size = WINDOW if rng.random() < 0.5 else int(rng.integers(4, WINDOW + 1))
-                begin = int(rng.integers(0, max(1, len(texts[i]) - size + 1)))
-                piece = np.frombuffer(texts[i][begin : begin + size], np.uint8)
+                begin = int(rng.integers(0, max(1, len(text) - size + 1)))
+                piece = np.frombuffer(text[begin : begin + size], np.uint8)
                 x[k, : len(piece)] = piece
-            cols, conv, pool = net.pooled(x)
-            z = pool @ net.out + net.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(pick)), target[pick]] -= 1
-            z *= (weight[pick] / len(pick))[:, None]
-            d_pool = (z @ net.out.T) * (pool > 0)
-            best = conv.argmax(axis=1)
-            hit = cols[np.arange(len(pick))[:, None], best]  # text, filter, run
-            d_filters = np.einsum("nfr,nf->rf", hit, d_pool) * reach
-            d_hit = d_pool[:, :, None] * net.filters.T[None]
-            d_embed = np.zeros_like(net.embed)
-            for j in range(run):
-                byte = x[np.arange(len(pick))[:, None], best + j]
-                np.add.at(d_embed, byte.ravel(), d_hit[:, :, j * DEPTH : (j + 1) * DEPTH].reshape(-1, DEPTH))
-            d_embed[0] = 0
             t += 1
-            for p, g, m, v in zip(
-                params, (d_embed, d_filters, d_pool.sum(axis=0), pool.T @ z, z.sum(axis=0)), first, second
-            ):
+            for p, g, m, v in zip(params, gradients(net, x, target[pick], weight[pick]), first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return net
 
 
+def _pieces(text: str) -> Column:
+    """``SAMPLE_WINDOWS`` windows, one at a hashed place in each equal stretch of the whole text."""
+    room = F.greatest(F.length(text) - WINDOW + 1, F.lit(1))
+
+    def place(i: Column) -> Column:
+        lo, hi = F.floor(room * i / SAMPLE_WINDOWS), F.floor(room * (i + 1) / SAMPLE_WINDOWS)
+        return (lo + F.pmod(F.xxhash64(F.col(text), i), F.greatest(hi - lo, F.lit(1))) + 1).cast("int")
+
+    stretches = F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1))
+    return F.array_distinct(F.transform(stretches, lambda i: F.substr(F.col(text), place(i), F.lit(WINDOW))))
+
+
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """Fit on a sample of ``(text_id, text, lang)`` of about ``sample_rows`` rows.
+    """Fit on a sample of at most ``sample_rows`` distinct texts of ``(text_id, text, lang)``.
 
-    Each language gives the same number of rows, chosen by a hash of the id;
-    of a text a piece of ``SAMPLE_CHARS`` at a hashed place is taken.  Null
-    texts and languages are left out.  None without any row.
+    Each language gives the same number, or all it has: those whose hash of text
+    and language is smallest.  The sample does not depend on ids, so rows that
+    share one, have none or repeat a text cannot crowd a language out.  Null
+    texts and languages are left out; empty texts teach nothing.  None without
+    any row.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text")
+    languages = rows.groupBy("lang").count().count()
+    if not languages:
         return None
-    quota = max(1, sample_rows // len(counts))
-    chance = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, quota / n))).otherwise(chance)
-    draw = F.pmod(F.xxhash64("text_id"), F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.xxhash64("text_id", F.lit(7)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
+    quota = max(1, sample_rows // languages)
+    drawn = rows.withColumn("draw", F.xxhash64("text", "lang"))
+    # tasks pass on their smallest draws only: numbers, no texts
+    chosen = first_n(drawn.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")), quota, ["lang"], "draw")
+    # at most sample_rows rows
+    wanted = F.broadcast(chosen.select("lang", "draw"))
     sample = (
-        rows.where(draw < chance)
-        .select("text_id", "lang", F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"))
-        .limit(2 * sample_rows)
-        .collect()
+        drawn.join(wanted, ["lang", "draw"])
+        .groupBy("lang", "draw").agg(F.min(_pieces("text")).alias("pieces"))
+        .orderBy("lang", "draw").collect()
     )
-    sample.sort(key=lambda r: (r["text_id"], r["lang"], r["piece"]))
-    return fit([r["piece"].encode() for r in sample], [r["lang"] for r in sample])
+    return fit([[p.encode() for p in r["pieces"]] for r in sample], [r["lang"] for r in sample])
 
 
 def identify(texts: DataFrame, network: Network | None) -> DataFrame:
