@@ -15,34 +15,18 @@ from barloom.sources.panel_store import (
     BUCKETS,
     MERGE,
     RELOAD,
-    last_reloads,
+    held_back,
     merge_newest,
+    merge_tiers,
     newest_revisions,
-    read_increments,
-    restatements,
+    pending_root,
+    stored_restatements,
     write_batch,
 )
 from barloom.sources.raw_bars import normalise, number_arrivals, with_source
 from barloom.sources.ticks import bar_aggregates, bar_fields
 
 
-PENDING = "pending"
-
-
-def held_back(spark: SparkSession, root: str, before: int) -> DataFrame:
-    """Rows of restated symbols that wait for a reload, from earlier batches.
-
-    A symbol's rows wait until a later reload of the symbol is stored.
-    """
-    waiting = read_increments(spark, f"{root.rstrip('/')}-{PENDING}").where(F.col("batch") < before)
-    done = last_reloads(read_increments(spark, root).where(F.col("batch") < before))
-    return (
-        waiting.join(done, "symbol", "left")
-        .where(F.col("__since").isNull() | (F.col("batch") > F.col("__since")))
-        .drop("__since")
-    )
-
-
 def merge_increment(
     spark: SparkSession,
     fresh: DataFrame,
@@ -61,11 +45,9 @@ def merge_increment(
     newer row of its own.  No landed row is lost.
     """
     # A batch that is being repeated must not see its own first attempt.
-    stored = read_increments(spark, root).where(F.col("batch") < batch)
-    touched = stored.join(fresh.select("symbol").distinct(), "symbol", "left_semi")
     waiting = held_back(spark, root, batch)
     moved = checkpointed(
-        restatements(newest_revisions(touched), fresh)
+        stored_restatements(spark, root, fresh, batch)
         .where("restated")
         .join(waiting.select("symbol").distinct(), "symbol", "full")
         .where(F.col("restated").isNotNull() | F.lit(full_history is not None))
@@ -81,7 +63,7 @@ def merge_increment(
         reload = merge_newest(old, merge_newest(late.join(known, "symbol", "left_semi"), again))
         keep = keep.unionByName(reload.withColumn("kind", F.lit(RELOAD)).select(*keep.columns))
         late = late.join(known, "symbol", "left_anti")
-    write_batch(late, f"{root.rstrip('/')}-{PENDING}", batch, buckets=buckets)
+    write_batch(late, pending_root(root), batch, buckets=buckets)
     write_batch(keep, root, batch, buckets=buckets)
     return moved.where(F.col("restated")).select("symbol", "shared_date", "old_basis", "new_basis", "restated")
 
@@ -109,6 +91,7 @@ def ingest_bars(
     def take(batch_df: DataFrame, batch: int) -> None:
         fresh = checkpointed(normalise(number_arrivals(batch_df), **normalise_options))
         merge_increment(batch_df.sparkSession, fresh, root, batch, full_history, buckets)
+        merge_tiers(batch_df.sparkSession, root)
 
     return (
         with_source(stream.load(landing))
