@@ -279,6 +279,97 @@ def held_back_increment(spark, sf):
     return tidy(panel_store.read_panel(spark, root), 8)
 
 
+_HELD_SQL = ORACLES["held_back_increment"]
+
+
+@query("store_compacted", _HELD_SQL)
+def store_compacted(spark, sf):
+    """The same increments, with the store folded into a new one while rows wait for their reload."""
+    bars = inputs.trade_bars(spark, sf)
+    factor = F.when(F.col("symbol") == "N", 0.95).otherwise(1.0)
+    rebased = bars.withColumn("adj_close", F.col("adj_close") * factor)
+    root, target = _new_store(spark, "held"), _new_store(spark, "folded")
+    panel_store.write_batch(bars.where("date <= DATE '1999-12-31'"), root, 0)
+    for batch, (lo, hi) in enumerate((("1999-12-01", "2000-06-30"), ("2000-07-01", "2000-12-31")), 1):
+        ingest.merge_increment(spark, rebased.where(F.col("date").between(lo, hi)), root, batch)
+    panel_store.compact(spark, root, target)
+
+    def history(symbols):
+        return rebased.where("date <= DATE '2000-03-31'").join(symbols, "symbol", "left_semi")
+
+    ingest.merge_increment(spark, rebased.where("date >= DATE '2001-01-01'"), target, 3, history)
+    return tidy(panel_store.read_panel(spark, target), 8)
+
+
+def _quarters(spark, sf, name: str) -> str:
+    """A store of quarterly increments, each revising the volume of the last week of the one before."""
+    bars = inputs.trade_bars(spark, sf)
+    root = _new_store(spark, name)
+    starts = [f"{y}-{m:02d}-01" for y in (1999, 2000, 2001) for m in (1, 4, 7, 10)]
+    panel_store.write_batch(bars.where("date < DATE '1999-01-01'"), root, 0)
+    for batch, (lo, hi) in enumerate(zip(starts, [*starts[1:], "2002-01-01"]), 1):
+        part = bars.where((F.col("date") >= F.date_sub(F.lit(lo).cast("date"), 7)) & (F.col("date") < hi))
+        panel_store.write_batch(part.withColumn("volume", F.col("volume") + batch), root, batch)
+    return root
+
+
+def _quarterly(where: str) -> str:
+    """SQL of what such a store holds: a day counts with the last increment that has it."""
+    return f"""WITH RECURSIVE {sql.trade_bars()},
+q AS (
+  SELECT *, CASE WHEN date < DATE '1998-12-25' THEN 0 ELSE
+    least((year(date + 7) - 1999) * 4 + quarter(date + 7), 12) END AS k FROM bars)
+SELECT symbol, date, {num('open', 'high', 'low', 'close', 'adj_close')}, round(volume + k, 6) + 0.0 AS volume FROM q {where}"""
+
+
+@query("store_tiers", _quarterly("WHERE date BETWEEN DATE '1999-02-01' AND DATE '2000-11-30' AND symbol <> 'R'"))
+def store_tiers(spark, sf):
+    """A range read of a store whose increments were merged by size."""
+    root = _quarters(spark, sf, "tiers")
+    panel_store.merge_tiers(spark, root)
+    return tidy(panel_store.read_panel(spark, root, ["A", "N"], "1999-02-01", "2000-11-30"))
+
+
+@query("store_old_version", _quarterly("WHERE date >= DATE '2001-01-01'"))
+def store_old_version(spark, sf):
+    """A reader that keeps to the version before a merge."""
+    root = _quarters(spark, sf, "version")
+    version = panel_store.versions(spark, root)[-1]
+    panel_store.merge_tiers(spark, root)
+    return tidy(panel_store.read_panel(spark, root, start="2001-01-01", version=version))
+
+
+@query(
+    "store_edges",
+    with_sql(
+        sql.trade_bars("p_brand"),
+        f"""SELECT symbol, min(date) AS first, max(date) AS latest, {rounded('arg_min(adj_close / close, date)', 'first_basis')},
+  {rounded('arg_max(adj_close / close, date) * 0.9', 'last_basis')}, coalesce(bool_or(
+    date BETWEEN DATE '1996-07-08' AND DATE '1996-07-18'), false) AS covers_start FROM bars GROUP BY symbol""",
+    ),
+)
+def store_edges(spark, sf):
+    """What the zone maps tell of every symbol, after a revision of the last days."""
+    bars = inputs.trade_bars(spark, sf, "p_brand")
+    root = _new_store(spark, "edges")
+    panel_store.write_batch(bars, root, 0)
+    late = bars.where("date >= DATE '1998-01-01'").withColumn("adj_close", F.col("adj_close") * 0.9)
+    panel_store.write_batch(late, root, 1)
+    return tidy(panel_store.stored_edges(spark, root).join(panel_store.stored_coverage(spark, root, "1996-07-08"), "symbol"))
+
+
+@query(
+    "store_restatements",
+    ORACLES["restatement_check"],
+)
+def store_restatements(spark, sf):
+    """The check of an increment against a store, decided by zone maps where they can."""
+    stored, fresh = _increment(spark, sf)
+    root = _new_store(spark, "restated")
+    panel_store.write_batch(stored, root, 0)
+    return tidy(panel_store.stored_restatements(spark, root, fresh))
+
+
 @query(
     "ingest_order",
     with_sql(
@@ -492,6 +583,14 @@ def basket_absent(spark, sf):
     return panel_store.load_many(spark, root, ["A", "N", "ZZZ"])[1]
 
 
+@query("basket_bars", with_sql(sql.trade_bars(), f"{_BARS} WHERE symbol IN ('A', 'N')"))
+def basket_bars(spark, sf):
+    """The bars of the symbols asked for that are stored."""
+    root = _new_store(spark, "basket")
+    panel_store.write_batch(inputs.trade_bars(spark, sf), root, 0)
+    return tidy(panel_store.load_many(spark, root, ["A", "N", "ZZZ"])[0])
+
+
 def _total(x: str, name: str) -> str:
     return f"CAST(sum({x}) AS BIGINT) AS {name}"
 

@@ -102,6 +102,28 @@ def recent(raw: DataFrame, log: DataFrame, spec: StudySpec) -> DataFrame:
     return raw.join(since, "symbol").where(F.to_date("date") >= F.col("__since")).drop("__since")
 
 
+def recent_bars(raw: DataFrame, log: DataFrame, spec: StudySpec) -> DataFrame:
+    """Cleaned bars of what ``recent`` reads, with the whole history of symbols it is too short for.
+
+    Cleaning may drop most of the raw dates read.  A symbol that is then left
+    with fewer bars than the feature tail and its look-back, although it has
+    older raw rows, is cleaned from its first row on; the others are not read
+    again.
+    """
+    need = TAIL_BARS + look_back(spec.features)
+    rows = recent(raw, log, spec)
+    cleaned = checkpointed(clean(rows))
+    kept = cleaned.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    since = rows.groupBy("symbol").agg(F.min(F.to_date("date")).alias("from"))
+    wanting = since.join(kept, "symbol", "left").where(F.coalesce("n", F.lit(0)) < need)
+    older = raw.join(wanting.select("symbol", "from"), "symbol").where(F.to_date("date") < F.col("from"))
+    short = checkpointed(older.select("symbol").distinct())
+    if short.isEmpty():
+        return cleaned
+    again = clean(raw.join(short, "symbol", "left_semi"))
+    return checkpointed(cleaned.join(short, "symbol", "left_anti").unionByName(again))
+
+
 def predict_latest(
     cleaned: DataFrame, model: PipelineModel, spec: StudySpec, logged_at: str
 ) -> DataFrame:
@@ -243,7 +265,7 @@ def run_daily(
     Reads only the tail of each symbol.  Returns the status of every symbol.
     """
     log = read_log(spark, log_root, before=batch)
-    cleaned = checkpointed(clean(recent(raw, log, spec)))
+    cleaned = recent_bars(raw, log, spec)
     append_outcomes(outcomes(log, cleaned), log_root, batch)
 
     made = checkpointed(predict_latest(cleaned, load_model(model_folder), spec, now))

@@ -10,7 +10,8 @@ from barloom.operators.target import attach_target
 from barloom.sources import panel_store as store
 from barloom.sources.logs import LOG_SCHEMA, coerce_log, read_log
 from barloom.streaming.ingest import ingest_bars, merge_increment
-from barloom.streaming.live import bar_is_final, next_bars, recent, run_daily, scorecard
+from barloom.operators.cleaning import clean
+from barloom.streaming.live import bar_is_final, latest_features, next_bars, recent, recent_bars, run_daily, scorecard
 from tests.frames import BARS, linear_bars, local, to_spark, walk
 
 
@@ -170,6 +171,24 @@ def test_daily_run_reads_only_the_tail(spark):
     assert recent(bars, asked, spec).count() > n
 
 
+def test_daily_run_reads_on_where_cleaning_drops_most(spark):
+    pdf = walk(2400, start="2010-01-01")
+    # of the last 1,300 dates only every twentieth has a price at all
+    bad = (pdf.index >= 1100) & (pdf.index % 20 != 0)
+    pdf.loc[bad, ["open", "high", "low", "close", "adj_close"]] = float("nan")
+    whole = walk(2400, seed=3, symbol="BBB", start="2010-01-01")
+    raw = to_spark(spark, pdf, seq=True).unionByName(to_spark(spark, whole, seq=True))
+    spec = StudySpec(model="linear")
+    got = recent_bars(raw, spark.createDataFrame([], LOG_SCHEMA), spec)
+    n = {r["symbol"]: r["count"] for r in got.groupBy("symbol").count().collect()}
+    want = clean(raw)
+    assert n["AAA"] == want.where("symbol = 'AAA'").count() and n["AAA"] > 1000
+    assert n["BBB"] == 2 * (400 + look_back(spec.features))
+    tail = latest_features(got, spec).where("symbol = 'AAA'").first()
+    full = latest_features(want, spec).where("symbol = 'AAA'").first()
+    assert tail["date"] == full["date"] and abs(tail["ret_1d"] - full["ret_1d"]) < 1e-12
+
+
 def test_log_text_is_coerced(spark):
     df = spark.createDataFrame([("2026-01-05", "", "nan", "0.5x")], "bar_date string, target_date string, correct string, prediction string")
     row = coerce_log(df).first()
