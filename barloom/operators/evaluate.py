@@ -1,7 +1,8 @@
 """How good predictions are: error, direction, rank and class metrics.
 
-Rank-based metrics order a group, so ``keys`` should contain ``symbol``; a group
-is then bounded by the calendar like every other ordered window here.
+Rank-based metrics order a group.  With ``symbol`` among the keys a group is
+bounded by the calendar and one window does it; keys that pool symbols take
+their ranks from sorted ranges of distinct values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import mean_when, safe_corr
+from barloom.functions.ranks import average_ranks
 from barloom.functions.windows import KEYS
 
 REGRESSION = (
@@ -28,6 +30,15 @@ def average_rank(x: str, keys: Sequence[str]) -> Column:
     return (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0
 
 
+def with_ranks(df: DataFrame, columns: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """``df`` with the mean rank of each named column in its group; see the module for how."""
+    if "symbol" in keys:
+        return df.withColumns({name: average_rank(x, keys) for name, x in columns.items()})
+    for name, x in columns.items():
+        df = average_ranks(df, x, keys, name)
+    return df
+
+
 def _scored(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     """Rows where both sides are known, as ``__t`` and ``__p``."""
     return df.withColumns({"__t": F.col(truth), "__p": F.col(prediction)}).where(
@@ -44,8 +55,8 @@ def regression_metrics(
 ) -> DataFrame:
     """The ten-field regression record per key."""
     t, p = F.col("__t"), F.col("__p")
-    ranked = _scored(df, truth, prediction).withColumns(
-        {"__rt": average_rank("__t", keys), "__rp": average_rank("__p", keys)}
+    ranked = with_ranks(
+        _scored(df, truth, prediction).select(*keys, "__t", "__p"), {"__rt": "__t", "__rp": "__p"}, keys
     )
     n = F.count(F.lit(1))
     sse = F.sum((t - p) * (t - p))
@@ -102,7 +113,7 @@ def roc_auc(
     df: DataFrame, truth: str, score: str, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Area under the ROC curve from mean ranks; NULL with only one class."""
-    ranked = _scored(df, truth, score).withColumn("__r", average_rank("__p", keys))
+    ranked = with_ranks(_scored(df, truth, score).select(*keys, "__t", "__p"), {"__r": "__p"}, keys)
     up = F.col("__t") > 0.5
     pos, neg = F.count_if(up).cast("double"), F.count_if(~up).cast("double")
     area = F.sum(F.when(up, F.col("__r"))) - pos * (pos + 1) / 2

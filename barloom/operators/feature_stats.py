@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.config import FeatureSpec
 from barloom.functions.columns import ratio, safe_corr, sample_kurtosis, sample_skew
+from barloom.functions.ranks import quantiles
 from barloom.functions.windows import KEYS, by_date
 from barloom.operators.features import FEATURES, build_features, feature_names
 from barloom.operators.gram import centred, moments, packed, unpack
@@ -28,11 +29,12 @@ def describe_features(
 ) -> DataFrame:
     """Count, moments, quartiles, missing share, skew and kurtosis per feature."""
     v, n = F.col("value"), F.count(F.lit(1))
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    shares = (0.25, 0.5, 0.75)
+    quartiles = F.percentile(v, F.array(*map(F.lit, shares))) if "symbol" in keys else F.lit(None).cast("array<double>")
     missing = F.count_if(v.isNull())
-    return (
-        tall(df, names, keys)
-        .groupBy(*keys, "feature")
+    long = tall(df, names, keys)
+    out = (
+        long.groupBy(*keys, "feature")
         .agg(
             F.count(v).alias("count"),
             F.avg(v).alias("mean"),
@@ -45,9 +47,11 @@ def describe_features(
             sample_skew(v).alias("skew"),
             sample_kurtosis(v).alias("kurtosis"),
         )
-        .withColumns({q: F.col("__q")[i] for i, q in enumerate(("p25", "p50", "p75"))})
-        .drop("__q")
     )
+    if "symbol" not in keys:
+        cuts = quantiles(long, "value", shares, [*keys, "feature"], "__q")
+        out = out.drop("__q").join(cuts, [*keys, "feature"])
+    return out.withColumns({q: F.col("__q")[i] for i, q in enumerate(("p25", "p50", "p75"))}).drop("__q")
 
 
 def future_return_correlation(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import TRADING_DAYS, finite, mean_when
+from barloom.functions.ranks import quantiles
 from barloom.functions.windows import KEYS, by_date, running
 
 TINY = 1e-12
@@ -132,10 +133,20 @@ def performance(
     """
     positions, extra = positions or {}, extra or {}
     df = path_columns(df, series, keys, order)
-    group = Window.partitionBy(*keys)
-    df = df.withColumns(
-        {f"{x}__var": F.percentile(f"{x}__r", F.lit(var_level)).over(group) for x in series}
-    )
+    if "symbol" in keys:
+        group = Window.partitionBy(*keys)
+        df = df.withColumns(
+            {f"{x}__var": F.percentile(f"{x}__r", F.lit(var_level)).over(group) for x in series}
+        )
+    else:
+        for x in series:
+            cuts = quantiles(df, f"{x}__r", [var_level], keys, "__cut")
+            cuts = cuts.select(*keys, F.col("__cut")[0].alias(f"{x}__var"))
+            if keys:
+                df = df.join(cuts, list(keys))
+            else:
+                found = cuts.first()
+                df = df.withColumn(f"{x}__var", F.lit(found and found[0]).cast("double"))
     wide = df.groupBy(*keys).agg(
         *[_record(x, rf, days, positions.get(x)).alias(f"rec_{x}") for x in series],
         *[c.alias(name) for name, c in extra.items()],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import col, mean_when
+from barloom.functions.ranks import quantiles
 from barloom.functions.windows import KEYS, by_date
 
 LONG, FLAT, SHORT = 1.0, 0.0, -1.0
@@ -96,6 +97,9 @@ def suggest_threshold(
 ) -> DataFrame:
     """Threshold that would be exceeded on about ``exposure_pct`` of the rows."""
     share = min(max(exposure_pct, 0.0), 100.0) / 100.0
+    if "symbol" not in keys:
+        cuts = quantiles(df, prediction, [1.0 - share], keys, "cut")
+        return cuts.select(*keys, F.greatest(F.col("cut")[0], F.lit(0.0)).alias("threshold"))
     cut = F.percentile(prediction, F.lit(1.0 - share))
     return df.groupBy(*keys).agg(
         F.greatest(cut, F.lit(0.0)).alias("threshold")

@@ -713,6 +713,23 @@ _QUARTILES = ", ".join(
 )
 
 
+_POOLED = ("ret_1d", "rsi_14", "volume_ratio")
+
+
+@query(
+    "feature_quartiles_pooled",
+    with_sql(
+        f"{_WIDE},\n{sql.tall(_POOLED, 'wide')}",
+        f"SELECT feature, count(value) AS count, {_QUARTILES} FROM long_feat GROUP BY feature",
+    ),
+)
+def feature_quartiles_pooled(spark, sf):
+    """Quartiles over all symbols, by repeated counting."""
+    built = build_features(inputs.trade_bars(spark, sf), dropna=False)
+    told = feature_stats.describe_features(built, _POOLED, keys=[])
+    return tidy(told.select("feature", "count", "p25", "p50", "p75"))
+
+
 @query(
     "feature_describe",
     with_sql(
@@ -996,6 +1013,20 @@ def suggest_threshold(spark, sf):
     return tidy(signals.suggest_threshold(inputs.momentum(spark, sf), 30.0), 8)
 
 
+@query(
+    "suggest_threshold_pooled",
+    with_sql(
+        _PRED,
+        f"SELECT year(date) AS year, {rounded('greatest(quantile_cont(prediction, 0.7), 0)', 'threshold', 8)} "
+        "FROM pred GROUP BY ALL",
+    ),
+)
+def suggest_threshold_pooled(spark, sf):
+    """One threshold a year for all symbols, by repeated counting."""
+    yearly = inputs.momentum(spark, sf).withColumn("year", F.year("date").cast("bigint"))
+    return tidy(signals.suggest_threshold(yearly, 30.0, keys=["year"]), 8)
+
+
 # --------------------------------------------------------------- backtest
 
 
@@ -1603,6 +1634,31 @@ def eval_sanity_flags(spark, sf):
     return flagged.select(*_PAIR, F.concat_ws("; ", "flags").alias("flags"))
 
 
+@query(
+    "eval_pooled",
+    with_sql(
+        f"{_LAGGED},\n{sql.regression_record('scored', 'split')}",
+        f"SELECT split, n, {num(*sql.REG_NUMBERS)} FROM reg",
+    ),
+)
+def eval_pooled(spark, sf):
+    """All symbols of a split in one group: ranks come from sorted ranges."""
+    return tidy(evaluate.regression_metrics(_scored(spark, sf), keys=["split"]))
+
+
+@query(
+    "eval_auc_pooled",
+    with_sql(
+        _LAGGED,
+        f"""SELECT split, {rounded('(sum(rk) FILTER (ty = 1) - sum(ty) * (sum(ty) + 1) / 2.0) / (sum(ty) * (count(*) - sum(ty)))', 'roc_auc')}
+FROM (SELECT *, (rank() OVER (PARTITION BY split ORDER BY p) * 2 + count(*) OVER (PARTITION BY split, p) - 1) / 2.0 AS rk
+  FROM scored) GROUP BY split""",
+    ),
+)
+def eval_auc_pooled(spark, sf):
+    return tidy(evaluate.roc_auc(_classes(spark, sf), "target", "prediction", ["split"]))
+
+
 _AUC = """auc AS (
   SELECT symbol, split, (sum(rk) FILTER (ty = 1) - sum(ty) * (sum(ty) + 1) / 2.0)
     / nullif(sum(ty) * (count(*) - sum(ty)), 0) AS roc_auc
