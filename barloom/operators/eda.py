@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import (
@@ -16,6 +16,7 @@ from barloom.functions.columns import (
     sample_skew,
 )
 from barloom.functions.windows import KEYS, by_date, first_n, roll, running
+from barloom.operators.models import MODELS
 
 
 def with_returns(
@@ -134,12 +135,23 @@ def top_by_magnitude(
 
 
 def best_models(comparison: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Best Sharpe, best return and lowest error among the models of a table."""
+    """Best Sharpe, best return and lowest error among the models of a table.
+
+    Of models that tie, the first in the order of ``MODELS`` is named, then by name.
+    """
     model = F.when(F.col("model") != "buy_and_hold", F.col("model"))
+    place = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
+    first = F.when(place > 0, place).otherwise(len(MODELS) + 1)
+
+    def best(value: Column) -> Column:
+        """The model of the least value."""
+        known = model.isNotNull() & value.isNotNull()
+        return F.min_by(model, F.when(known, F.struct(value, first, "model")))
+
     return comparison.groupBy(*keys).agg(
-        F.max_by(model, F.when(model.isNotNull(), F.col("sharpe_ratio"))).alias("best_sharpe"),
-        F.max_by(model, F.when(model.isNotNull(), F.col("total_return"))).alias("best_return"),
-        F.min_by("model", "rmse").alias("lowest_rmse"),
+        best(-F.col("sharpe_ratio")).alias("best_sharpe"),
+        best(-F.col("total_return")).alias("best_return"),
+        best(F.col("rmse")).alias("lowest_rmse"),
     )
 
 

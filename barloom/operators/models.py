@@ -172,6 +172,28 @@ def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     ).orderBy(F.desc("importance"), "feature")
 
 
+def logistic_slopes(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``(feature, n, slope)`` of the penalised mean log loss at a logistic model's weights.
+
+    One pass over the rows; a fit that has converged on them has slopes near
+    zero.  The intercept carries no penalty.
+    """
+    names, fitted = model.stages[0].getInputCols(), model.stages[-1]
+    scored = model.transform(df).select(
+        vector_to_array("scaled").alias("z"), (vector_to_array("probability")[1] - F.col("target")).alias("off")
+    )
+    sums = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("off").alias("s"),
+        *[F.avg(F.col("z")[i] * F.col("off")).alias(f"s{i}") for i in range(len(names))],
+    )
+    penalty = fitted.getRegParam()
+    slopes = [F.struct(F.lit("intercept").alias("feature"), F.col("s").alias("slope"))] + [
+        F.struct(F.lit(c).alias("feature"), (F.col(f"s{i}") + penalty * float(w)).alias("slope"))
+        for i, (c, w) in enumerate(zip(names, fitted.coefficients.toArray()))
+    ]
+    return sums.select("n", F.explode(F.array(*slopes)).alias("g")).select("g.feature", "n", "g.slope")
+
+
 def model_path(root: str, scope: str, name: str, fingerprint: str) -> str:
     return f"{root.rstrip('/')}/{scope}_{name}_{fingerprint}"
 

@@ -1747,6 +1747,15 @@ train AS (SELECT * FROM pooled WHERE split = 'train'),
 predicted AS (
   SELECT symbol, date, split, target, {sql.fitted(FEATURES)} AS prediction
   FROM pooled JOIN coefs USING (pool))"""
+#: Least squares has one set of fitted values, but not of weights: one input is the difference of two others.
+_INDEPENDENT = [c for c in FEATURES if c != "macd_hist_norm"]
+_POOLED_LINEAR = f"""{_DATA},
+pooled AS (SELECT *, 0 AS pool FROM data),
+train AS (SELECT * FROM pooled WHERE split = 'train'),
+{sql.ridge('train', 'pool', _INDEPENDENT, 0.0)},
+predicted AS (
+  SELECT symbol, date, split, target, {sql.fitted(_INDEPENDENT)} AS prediction
+  FROM pooled JOIN coefs USING (pool))"""
 _WEIGHTS = (
     "(SELECT {keys}, unnest([" + ", ".join(f"'{c}'" for c in FEATURES) + "]) AS feature, "
     "unnest(weight) / list_sum(weight) AS importance FROM coefs)"
@@ -1773,7 +1782,9 @@ def _fitted(spark, sf, name, **params):
 
 
 def _model_query(name: str, model: str) -> None:
-    @query(name, with_sql(_POOLED_RIDGE, _PREDICTIONS) if model == "ridge" else None)
+    solved = {"ridge": _POOLED_RIDGE, "linear": _POOLED_LINEAR}.get(model)
+
+    @query(name, solved and with_sql(solved, _PREDICTIONS))
     def predictions(spark, sf):
         _, trained = _fitted(spark, sf, model)
         return tidy(trained.predictions.select(*_PREDICTED))
@@ -1829,6 +1840,83 @@ def model_compare(spark, sf):
     return study.compare_models(data, SPEC)
 
 
+def _solved(model: str, names, alpha: float) -> str:
+    """SQL of the pooled predictions of a least-squares model, as one select."""
+    return f"""SELECT '{model}' AS model, symbol, date, split, target, close, prediction FROM (WITH RECURSIVE
+pooled AS (SELECT *, 0 AS pool FROM data),
+train AS (SELECT * FROM pooled WHERE split = 'train'),
+{sql.ridge('train', 'pool', names, alpha)}
+SELECT symbol, date, split, target, close, {sql.fitted(names)} AS prediction FROM pooled JOIN coefs USING (pool))"""
+
+
+_COMPARED = f"""{_DATA},
+stacked AS MATERIALIZED ({_solved('linear', _INDEPENDENT, 0.0)}
+  UNION ALL {_solved('ridge', FEATURES, 1.0)}),
+pred AS MATERIALIZED (
+  SELECT *, coalesce(close / lag(close) OVER (PARTITION BY symbol, model ORDER BY date) - 1, 0) AS asset_return,
+         target AS t, prediction AS p
+  FROM stacked WHERE split = 'test'),
+{sql.score_runs('pred', 'symbol, model', '0', '7')},
+{sql.regression_record('pred', 'symbol, model')},
+market AS (SELECT symbol, date, asset_return AS r FROM pred WHERE model = 'linear'),
+{sql.performance('market', 'symbol', 'hold_perf')},
+compared AS MATERIALIZED (
+  SELECT symbol, model, rmse, mae, r2, directional_accuracy, information_coefficient, total_return, cagr, sharpe_ratio,
+         max_drawdown, CAST(n_trades AS BIGINT) AS n_trades, exposure
+  FROM runs_scored JOIN reg USING (symbol, model)
+  UNION ALL
+  SELECT symbol, 'buy_and_hold', NULL, NULL, NULL, NULL, NULL, total_return, cagr, sharpe_ratio, max_drawdown, 1, 1.0
+  FROM hold_perf)"""
+_COMPARED_NUMBERS = (
+    "rmse", "mae", "r2", "directional_accuracy", "information_coefficient", "total_return", "cagr", "sharpe_ratio",
+    "max_drawdown", "exposure",
+)
+
+
+def _compared(spark, sf):
+    data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
+    return study.compare_models(data, SPEC, ("linear", "ridge"))
+
+
+@query(
+    "model_compare_linear",
+    with_sql(_COMPARED, f"SELECT symbol, model, n_trades, {num(*_COMPARED_NUMBERS)} FROM compared"),
+)
+def model_compare_linear(spark, sf):
+    """What the comparison of models determines: least squares, ridge, and the market."""
+    return tidy(_compared(spark, sf))
+
+
+@query(
+    "best_models_linear",
+    with_sql(
+        _COMPARED,
+        # linear comes first where both tie, as they do when all signals agree
+        """SELECT symbol, first(model ORDER BY round(sharpe_ratio, 9) DESC, model) FILTER (model <> 'buy_and_hold') AS best_sharpe,
+  first(model ORDER BY round(total_return, 9) DESC, model) FILTER (model <> 'buy_and_hold') AS best_return,
+  first(model ORDER BY rmse) FILTER (model <> 'buy_and_hold') AS lowest_rmse
+FROM compared GROUP BY symbol""",
+    ),
+)
+def best_models_linear(spark, sf):
+    return eda.best_models(_compared(spark, sf))
+
+
+@query(
+    "model_logistic_gradient",
+    with_sql(
+        _DATA,
+        "SELECT unnest(["
+        + ", ".join(f"'{c}'" for c in ("intercept", *FEATURES))
+        + "]) AS feature, n, 0.0::DOUBLE AS slope FROM (SELECT count(*) AS n FROM data WHERE split = 'train')",
+    ),
+)
+def model_logistic_gradient(spark, sf):
+    """Slope of the penalised loss per training row at the fitted weights, rounded: zero where the fit ended."""
+    data = study.checkpointed(_dataset(spark, sf, "classification").where("split = 'train'"))
+    return tidy(models.logistic_slopes(models.fit_model(data, FEATURES, "linear", task="classification"), data), 4)
+
+
 @query("best_models")
 def best_models(spark, sf):
     data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
