@@ -111,6 +111,7 @@ def smooth(
     specs: dict[str, Smooth],
     keys: Sequence[str] = KEYS,
     order: str = "date",
+    age: str | None = None,
 ) -> DataFrame:
     """Add one column per smoother in ``specs``, in O(rows) and inside the JVM.
 
@@ -120,6 +121,12 @@ def smooth(
     than 1e-17; the carry into a block is therefore the previous block's total
     and nothing else.  Rescaling per block keeps the powers inside a double on
     series of any length.
+
+    ``age`` names a column that resumes a series: 0 on the last bar of a stored
+    tail, where the column ``c_<smoother>`` has the value reached there,
+    negative before it, positive on the bars that follow.  Where it is null the
+    series starts from its first bar.  Values before the stored one are not
+    given.
     """
     trivial = [s for s in specs if specs[s].alpha >= 1.0]
     if trivial:
@@ -150,6 +157,9 @@ def smooth(
                 .when(k == spec.n, F.col(f"__m_{name}"))
                 .otherwise(x / spec.n)
             )
+        if age:
+            going_on = F.when(F.col(age) > 0, x * spec.alpha).when(F.col(age) == 0, F.col(f"c_{name.strip('_')}"))
+            inputs[f"__u_{name}"] = F.when(F.col(age).isNotNull(), going_on).otherwise(inputs[f"__u_{name}"])
         scratch.append(f"__u_{name}")
     df = df.withColumns(inputs)
 
@@ -175,7 +185,10 @@ def smooth(
             level = F.pow(keep, off) * F.coalesce(
                 F.col(f"__s_{name}"), F.lit(0.0)
             ) + F.pow(keep, off + 1) * F.coalesce(F.col(f"__c_{name}"), F.lit(0.0))
-            results[name] = F.when(F.col(f"__k_{name}") >= specs[name].n, level)
+            shown = F.col(f"__k_{name}") >= specs[name].n
+            if age:
+                shown = F.coalesce(F.col(age) >= 0, shown)
+            results[name] = F.when(shown, level)
             scratch += [f"__s_{name}", f"__t_{name}", f"__c_{name}"]
         df = df.withColumns(sums).withColumns(carries).withColumns(results)
     return df.drop(*scratch, "__block", "__off")

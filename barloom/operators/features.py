@@ -97,6 +97,15 @@ def look_back(spec: FeatureSpec = FeatureSpec()) -> int:
     return max(rows_needed(spec).values())
 
 
+def carries(spec: FeatureSpec = FeatureSpec()) -> dict[str, str]:
+    """What a series carries from bar to bar besides a tail of bars, and the working column it comes from."""
+    spans = sorted({*RATIO_SPANS, spec.macd_fast, spec.macd_slow})
+    return {
+        **{f"ema_{n}": f"__ema_{n}" for n in spans},
+        "g": "__g", "l": "__l", "atr": "atr", "macd_signal": "__macd_signal", "obv": "obv",
+    }
+
+
 def feature_matrix(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """Keys and model inputs only, in a stable column order."""
     return df.select("symbol", "date", *feature_names(spec))
@@ -107,6 +116,8 @@ def build_features(
     spec: FeatureSpec = FeatureSpec(),
     dropna: bool = True,
     keys: Sequence[str] = KEYS,
+    age: str | None = None,
+    carried: bool = False,
 ) -> DataFrame:
     """Clean bars in, adjusted bars plus levels plus every feature out.
 
@@ -117,6 +128,10 @@ def build_features(
     The columns are added in layers so that no expression nests windows.  Every
     window except the block sums of the smoothers shares one specification;
     the plan has a single exchange on ``keys``.
+
+    ``carried`` adds the columns ``c_*`` that a later run needs to go on from
+    here (see ``carries``); ``age`` names the column that says where such a run
+    starts (see ``smooth``).
     """
     tune(bars.sparkSession)
     w = by_date(*keys)
@@ -147,6 +162,10 @@ def build_features(
         if n != 1
     }
     first |= {f"sma_{n}": roll(F.avg, "close", n, w) for n in spec.sma_windows}
+    if age:
+        # the first bar of a stored tail brings the flow of everything before it
+        begins = F.col(age).isNotNull() & F.lag("date").over(w).isNull()
+        first["__delta_flow"] = F.when(begins, F.col("c_obv")).otherwise(first["__delta_flow"])
     df = df.withColumns(first)
 
     # Layer 2: windows over returns and flows, and the recursive smoothers.
@@ -176,11 +195,12 @@ def build_features(
             "atr": Smooth("wilder", "__tr", spec.atr_period),
         },
         keys,
+        age=age,
     )
     df = df.withColumn(
         "__macd", F.col(f"__ema_{spec.macd_fast}") - F.col(f"__ema_{spec.macd_slow}")
     )
-    df = smooth(df, {"__macd_signal": Smooth("ema", "__macd", spec.macd_signal)}, keys)
+    df = smooth(df, {"__macd_signal": Smooth("ema", "__macd", spec.macd_signal)}, keys, age=age)
 
     # Layer 3: scale-free ratios of what is there by now.
     span = F.col("high") - F.col("low")
@@ -217,5 +237,6 @@ def build_features(
     out = df.select(
         *keys, "date", "open", "high", "low", "close", "adj_close", "volume",
         *[f"sma_{n}" for n in spec.sma_windows], *LEVELS, *names,
+        *([F.col(inner).alias(f"c_{c}") for c, inner in carries(spec).items()] if carried else []),
     )
     return out.dropna(subset=names) if dropna else out

@@ -42,7 +42,7 @@ from barloom.plans.inputs import SPEC
 from barloom.plans.oracle_parts import num, rounded, with_sql
 from barloom.sources import logs, panel_store, raw_bars
 from barloom.sources.ticks import bars_from_ticks, event_ticks
-from barloom.streaming import ingest, live
+from barloom.streaming import ingest, live, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -2213,6 +2213,42 @@ def live_latest_ridge(spark, sf):
     return tidy(predict_linear(latest, fitted, FEATURES).select("symbol", "date", "prediction"))
 
 
+@query(
+    "live_predictions",
+    with_sql(
+        _POOLED_RIDGE,
+        f"""SELECT symbol, date AS bar_date, 'ridge' AS model, {rounded('20 * p', 'prediction')},
+  CASE WHEN 20 * p > 0.01 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS signal, abs(20 * p) > 0.10 AS refused
+FROM (SELECT symbol, date, {sql.fitted(FEATURES)} AS p FROM feat, coefs QUALIFY date = max(date) OVER (PARTITION BY symbol))""",
+    ),
+)
+def live_predictions(spark, sf):
+    """Log rows of the newest bars under a stored model of twenty times the return, which the bound refuses in part."""
+    spec = replace(SPEC, model="ridge", threshold=0.01)
+    bars = study.checkpointed(inputs.trade_bars(spark, sf))
+    train = study.prepare(bars, spec).where("split = 'train'").withColumn("target", F.col("target") * 20)
+    path = models.model_path(_new_store(spark, "models"), "pool", "ridge", spec.fingerprint())
+    models.save_model(models.fit_model(train, FEATURES, "ridge"), path)
+    made = live.predict_latest(bars, models.load_model(path), spec, "2002-01-01 00:00:00")
+    return tidy(made.select("symbol", "bar_date", "model", "prediction", "signal", "refused"))
+
+
+@query(
+    "incremental_features",
+    with_sql(_FEAT, f"SELECT symbol, date, {num(*FEATURES, digits=8)} FROM feat WHERE date > DATE '2000-12-31'"),
+)
+def incremental_features(spark, sf):
+    """Features of the test year in three batches from a state per symbol; no older bar is read again."""
+    bars = study.checkpointed(inputs.trade_bars(spark, sf))
+    kept = study.checkpointed(state.feature_state(bars.where("date <= DATE '2000-12-31'")))
+    out = None
+    for lo, hi in (("2001-01-01", "2001-03-31"), ("2001-04-01", "2001-08-31"), ("2001-09-01", "2002-12-31")):
+        rows, after = state.advance(kept, bars.where(F.col("date").between(lo, hi)))
+        kept = study.checkpointed(after)
+        out = rows if out is None else out.unionByName(rows)
+    return tidy(out, 8)
+
+
 @query(
     "log_csv_round_trip",
     with_sql(
