@@ -18,7 +18,7 @@ from barloom.llm import (
     sharding,
     substring_dedup,
 )
-from barloom.llm.common import as_reports, shared_folder, table
+from barloom.llm.common import as_reports, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         shards=8,
         key=("doc_id",),
         carry={"text_crc32": F.crc32(text)},
-        map_root=shared_folder(spark, "slot-maps"),
     )
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
-        "virtual_slot", "slot_bytes",
+        "virtual_slot", "slot_bytes", "even_shard",
     )
 
 
@@ -105,8 +104,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(key: str, n: int) -> Column:
-    """The fold of a document: crc32 of its id as text."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+    """The fold of a document: crc32 of its id as text; -1 without an id, which no fold is."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

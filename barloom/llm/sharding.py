@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import stored
+from barloom.llm.common import shared_folder, stored
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
@@ -53,10 +53,11 @@ def map_for(shards: int, slots: int = SLOTS) -> SlotMap:
     return m
 
 
-def rebalance(m: SlotMap, bytes_of: dict[int, int]) -> SlotMap:
+def rebalance(m: SlotMap, bytes_of: dict[int, int], version: int | None = None) -> SlotMap:
     """Move slots from the heaviest to the lightest shard while that evens out bytes.
 
     ``bytes_of`` has the bytes of each slot; the table is bounded by the slots.
+    ``version`` names the edit where other edits of the same map exist.
     """
     out = list(m.shard_of)
     load = [0] * m.shards
@@ -72,7 +73,7 @@ def rebalance(m: SlotMap, bytes_of: dict[int, int]) -> SlotMap:
         out[best] = light
         load[heavy] -= bytes_of[best]
         load[light] += bytes_of[best]
-    return SlotMap(m.version + 1, m.shards, tuple(out))
+    return SlotMap(version or m.version + 1, m.shards, tuple(out))
 
 
 def map_table(spark: SparkSession, m: SlotMap) -> DataFrame:
@@ -114,13 +115,15 @@ def shard_panel(
 ) -> DataFrame:
     """Put bars (any keyed records) into shards by key and shard count alone.
 
-    A key hashes to one of ``slots`` virtual slots and the map of that shard
-    count names the slot's shard; ``grown_shard`` is the shard under the next
-    version of the map, with one shard more.  With ``map_root`` both versions
-    are stored there.  Returns the key columns,
-    ``size``, the ``carry`` columns, ``virtual_slot``, ``shard``,
-    ``grown_shard``, ``slot_bytes`` (all bytes of the virtual slot) and
-    ``slot``: the row's place in its shard, gapless from 0.
+    A key hashes to one of ``slots`` virtual slots and the stored map of that
+    shard count names the slot's shard; ``grown_shard`` is the shard under the
+    next version, with one shard more, and ``even_shard`` the one under an edit
+    of the map by the bytes of the slots, which law ``key`` does not follow but
+    an owner of the data may.  All versions are written below ``map_root`` (a
+    folder of the session by default) and rows are placed by what is read back.
+    Returns the key columns, ``size``, the ``carry`` columns, ``virtual_slot``,
+    ``shard``, ``grown_shard``, ``even_shard``, ``slot_bytes`` (all bytes of the
+    virtual slot) and ``slot``: the row's place in its shard, gapless from 0.
 
     A null in the key is a key value of its own.  Rows with equal keys share a
     shard and take places in order of content; fully repeated rows take
@@ -128,10 +131,7 @@ def shard_panel(
     """
     spark = bars.sparkSession
     carry = carry or {}
-    now = map_for(shards, slots)
-    then = add_shard(now)
-    for m in (now, then) if map_root else ():
-        save_map(spark, m, map_root)
+    map_root = map_root or shared_folder(spark, "slot-maps")
     slim = stored(
         bars.select(
             *key,
@@ -142,16 +142,23 @@ def shard_panel(
         .withColumn("__mark", F.xxhash64(*key, "size", *carry))
         .withColumn("part", F.pmod("__mark", F.lit(PARTS)).cast("int"))
     )
-    both = map_table(spark, now).select("virtual_slot", "shard").join(
-        map_table(spark, then).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot"
-    )
+    filled = stored(bytes_per_slot(slim))
+    # one row per virtual slot
+    bytes_of = {r["virtual_slot"]: r["b"] for r in filled.groupBy("virtual_slot").agg(F.sum("bytes").alias("b")).collect()}
+    now = map_for(shards, slots)
+    then = add_shard(now)
+    even = rebalance(now, bytes_of, then.version + 1)
+    named = None
+    for m, column in ((now, "shard"), (then, "grown_shard"), (even, "even_shard")):
+        save_map(spark, m, map_root)
+        read = map_table(spark, load_map(spark, map_root, m.version)).select("virtual_slot", F.col("shard").alias(column))
+        named = read if named is None else named.join(read, "virtual_slot")
     ahead = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # At most slots x PARTS rows, whatever the data: small enough to window and to broadcast.
     places = (
-        bytes_per_slot(slim)
-        .join(both, "virtual_slot")
+        filled.join(named, "virtual_slot")
         .withColumn("__before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
         .withColumn("slot_bytes", F.sum("bytes").over(Window.partitionBy("virtual_slot")))
         .drop("bytes", "n")
@@ -161,7 +168,7 @@ def shard_panel(
         slim.withColumn("__at", F.row_number().over(inside))
         .join(F.broadcast(places), ["virtual_slot", "part"])
         .select(
-            *key, "size", *carry, "virtual_slot", "shard", "grown_shard", "slot_bytes",
+            *key, "size", *carry, "virtual_slot", "shard", "grown_shard", "even_shard", "slot_bytes",
             (F.col("__before") + F.col("__at") - 1).alias("slot"),
         )
     )

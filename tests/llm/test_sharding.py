@@ -49,6 +49,23 @@ def test_hot_key_and_empty(spark):
     assert sharding.shard_panel(bars.limit(0), F.lit(1), 4).count() == 0
 
 
+def test_bytes_of_slots_edit_the_stored_map(spark, tmp_path):
+    bars = spark.range(3000).select(
+        F.concat(F.lit("S"), F.col("id") % 500).alias("symbol"), F.col("id").alias("date"),
+        F.when(F.col("id") % 500 < 5, 5000).otherwise(10).alias("close"),
+    )
+    rows = sharding.shard_panel(bars, F.col("close"), 4, key=("symbol",), slots=256, map_root=str(tmp_path)).collect()
+    load = {}
+    for r in rows:
+        for column in ("shard", "even_shard"):
+            load[column, r[column]] = load.get((column, r[column]), 0) + r["size"]
+    spread = {c: max(v for (k, _), v in load.items() if k == c) - min(v for (k, _), v in load.items() if k == c) for c in ("shard", "even_shard")}
+    assert spread["even_shard"] < spread["shard"]
+    # what placed the rows is what is stored
+    versions = {c: sharding.load_map(spark, str(tmp_path), v) for c, v in (("shard", 4), ("grown_shard", 5), ("even_shard", 6))}
+    assert all(versions[c].shard_of[r["virtual_slot"]] == r[c] for r in rows for c in versions)
+
+
 def test_maps(spark, tmp_path):
     m = sharding.map_for(8)
     counts = [m.shard_of.count(s) for s in range(8)]
