@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import byte_view, slices
+from barloom.llm.common import any_key, byte_view, slices
 
 #: Entries in the younger half of a task's memory of pieces, and of words.
 MEMORY = 100_000
@@ -335,6 +335,7 @@ def token_texts(tokenizer_json: str) -> list[str | None]:
 _DECODED = "report_id bigint, token_ids binary, decoded string"
 
 
+@any_key("report_id")
 def encode_reports(reports: DataFrame, tokenizer_json: str) -> DataFrame:
     """Token ids of reports ``(report_id, report)`` under a word-level BPE vocabulary.
 
@@ -371,6 +372,7 @@ def decode_tokens(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     return encoded.select("report_id", "token_ids").mapInArrow(decode, _DECODED)
 
 
+@any_key("report_id")
 def round_trip(reports: DataFrame, tokenizer_json: str, memory: int = MEMORY) -> DataFrame:
     """``encode_reports`` and ``decode_tokens`` of the ids, in one Python pass.
 

@@ -6,13 +6,16 @@ import ctypes
 import ctypes.util
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import scratch
 from barloom.functions.durable import ensure_checkpoint_dir
+from barloom.functions.ranks import positions
 from barloom.functions.session import ship
 
 #: White space of every word contract: blank and 0x09 to 0x0D.
@@ -52,6 +55,40 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def any_key(*columns: str):
+    """Let an operator on integer ``report_id`` take reports under keys of any ordered type.
+
+    Keys are numbered in their order, so that "smallest" means the same, and
+    ``columns`` of the result (those that hold ids) get their keys back.  Null
+    keys stay null.  Integer ids pass through as they are.
+    """
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(reports: DataFrame, *args, **options) -> DataFrame:
+            ship(reports.sparkSession)
+            kind = dict(reports.dtypes).get("report_id")
+            if kind in ("tinyint", "smallint", "int", "bigint"):
+                return operator(reports, *args, **options)
+            key, number = scratch(reports.columns, "key", "number")
+            keys = reports.select(F.col("report_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+            keys = stored(positions(keys, [], [key], number))
+            rest = [c for c in reports.columns if c != "report_id"]
+            numbered = reports.join(keys, F.col("report_id") == F.col(key), "left").select(
+                F.col(number).alias("report_id"), *rest
+            )
+            out = operator(numbered, *args, **options)
+            names = out.columns
+            for c in columns:
+                back = keys.select(F.col(number).alias(c), F.col(key).alias(f"{key}_of"))
+                out = out.join(back, c, "left").drop(c).withColumnRenamed(f"{key}_of", c)
+            return out.select(*names)
+
+        return run
+
+    return wrap
+
+
 #: Bits of the filter in ``narrowed``: a fixed size, whatever the data.
 FILTER_BITS = 1 << 23
 

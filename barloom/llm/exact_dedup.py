@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLANKS, byte_view, narrowed, stored
+from barloom.llm.common import BLANKS, any_key, byte_view, narrowed, stored
 
 #: Bytes hashed, and later compared, as one unit.
 CHUNK = 1 << 14
@@ -115,6 +115,7 @@ def _chunks(bits: int):
     return emit
 
 
+@any_key("report_id", "keep_id")
 def exact_duplicates(reports: DataFrame, bits: int = BITS) -> DataFrame:
     """Group reports ``(report_id, report)`` whose text is equal without white space.
 

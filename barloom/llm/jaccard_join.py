@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_view, narrowed, runs_of, slices, stored, word_hashes
+from barloom.llm.common import any_key, byte_view, narrowed, runs_of, slices, stored, word_hashes
 from barloom.llm.components import components
 
 #: Words of a shingle and the similarity, in percent, at which two reports link.
@@ -432,6 +432,7 @@ def _link_families(held: DataFrame, lists: DataFrame, families: DataFrame) -> Da
     return _relabel(belongs, links(held, asks.unionByName(asked))).select("report_id", "component")
 
 
+@any_key("report_id", "component_id")
 def near_duplicates(reports: DataFrame) -> DataFrame:
     """Components of reports ``(report_id, report)`` linked by shared five-word shingles.
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.session import ship
 from barloom.functions.windows import first_n
 from barloom.llm.common import byte_view, slices
 
@@ -200,7 +201,7 @@ def identify(texts: DataFrame, network: Network | None) -> DataFrame:
     could be trained give ``und`` with score 0.  Repeated rows give equal
     results; an empty table an empty one; other columns are ignored.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(network)
+    shared = ship(texts.sparkSession).sparkContext.broadcast(network)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_view, mix, slices, stored, word_hashes
+from barloom.llm.common import any_key, byte_view, mix, slices, stored, word_hashes
 
 #: Bytes of text in a block, bytes of text for each range, and the least number of blocks.
 BLOCK, RANGE, LEAST = 1 << 23, 1 << 23, 32
@@ -129,6 +129,7 @@ def traverse(
     )
 
 
+@any_key("report_id")
 def score_reports(reports: DataFrame) -> DataFrame:
     """Log10 probabilities of reports ``(report_id, report, learn)``.
 

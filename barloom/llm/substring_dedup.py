@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import byte_view, mix, runs_of, slices, stored, word_hashes
+from barloom.llm.common import any_key, byte_view, mix, runs_of, slices, stored, word_hashes
 from barloom.llm.fm_index import PassageIndex
 
 #: Words of a window that counts as repeated, and of the runs that anchor it.
@@ -184,6 +184,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@any_key("report_id")
 def remove_repeats(reports: DataFrame) -> DataFrame:
     """Reports ``(report_id, report)`` without passages that a smaller id has already.
 
