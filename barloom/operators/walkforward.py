@@ -190,7 +190,8 @@ def walk_forward_pooled(
     Folds are cut on the dates of the whole panel, so no symbol trains a fold
     on days that lie after another symbol's test block.
     """
-    rows = with_date_folds(data, n_folds, mode, min_train)
+    # every fold reads it for its facts, its fit and its prediction
+    rows = checkpointed(with_date_folds(data, n_folds, mode, min_train))
     jobs = {
         i: (
             lambda i=i: fit_model(

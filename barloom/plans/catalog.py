@@ -2485,6 +2485,57 @@ def verdict(spark, sf):
     return tidy(report.verdict(metrics.compare_to_benchmark(_result(spark, sf))))
 
 
+@query(
+    "report_texts",
+    with_sql(
+        f"""{_DATA},
+parts AS (SELECT symbol, split, count(*) AS rows, min(date) AS start, max(date) AS "end",
+  round(count(*) / 252.0, 2)::DOUBLE AS years FROM data GROUP BY symbol, split),
+lines AS (
+  SELECT symbol, split || '/rows: ' || rows AS line FROM parts UNION ALL SELECT symbol, split || '/start: ' || start FROM parts
+  UNION ALL SELECT symbol, split || '/end: ' || "end" FROM parts UNION ALL SELECT symbol, split || '/years: ' || years FROM parts)""",
+        """SELECT symbol, '## splits' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS report FROM lines GROUP BY symbol""",
+    ),
+)
+def report_texts(spark, sf):
+    """The text of a report section per symbol."""
+    sections = report.report_sections({"splits": target.split_summary(_dataset(spark, sf))})
+    return report.report_text(sections)
+
+
+@query(
+    "report_backtest",
+    with_sql(
+        _COMPARISON,
+        "SELECT symbol, 'comparison' AS section, metric || '/' || side AS item, round(value, 6) + 0.0 AS value FROM (UNPIVOT "
+        "(SELECT symbol, metric, strategy, buy_and_hold, difference FROM comparison) "
+        "ON strategy, buy_and_hold, difference INTO NAME side VALUE value)",
+    ),
+)
+def report_backtest(spark, sf):
+    """The comparison section of the report on a finished backtest, read back as numbers."""
+    sections, _ = study.backtest_report(_result(spark, sf), SPEC)
+    rows = sections.where("section = 'comparison'").withColumn("value", F.col("value").cast("double"))
+    return tidy(rows.where("value IS NOT NULL"))
+
+
+@query(
+    "backtest_aligned",
+    with_sql(
+        f"""{_PRED},
+shared AS (SELECT * FROM pred WHERE week(date) % 3 <> 0),
+{sql.backtest("shared", short=False)}""",
+        f"SELECT symbol, date, {num('asset_return', 'signal', 'position', 'cost', 'strategy_return', 'equity')} FROM bt",
+    ),
+)
+def backtest_aligned(spark, sf):
+    """Signals that lack every third week, on the dates they share with the bars."""
+    bars = inputs.momentum(spark, sf)
+    made = signals.generate_signals(bars, "prediction", 0.0, False).where(F.weekofyear("date") % 3 != 0)
+    out = study.backtest_signals(bars, made, SPEC)
+    return tidy(out.select("symbol", "date", "asset_return", "signal", "position", "cost", "strategy_return", "equity"))
+
+
 @query("report_sections")
 def report_sections(spark, sf):
     """The report of the ridge study per symbol, walk-forward included."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.config import StudySpec
 from barloom.functions.durable import checkpointed
 from barloom.operators import stress
-from barloom.operators.backtest import entered, run_backtest, trade_log
+from barloom.operators.backtest import align, entered, run_backtest, trade_log
 from barloom.operators.cleaning import clean, cleaning_log, mark_cleaning
 from barloom.operators.evaluate import evaluate, sanity_flags
 from barloom.operators.feature_stats import future_return_correlation
@@ -30,7 +30,7 @@ from barloom.operators.models import (
 )
 from barloom.operators.quality import validate
 from barloom.operators.regimes import regime_report
-from barloom.operators.report import correlation_headline, report_sections, verdict
+from barloom.operators.report import correlation_headline, report_sections, report_text, verdict
 from barloom.operators.signals import generate_signals
 from barloom.operators.target import build_dataset, check_split, realised_returns, split_summary
 from barloom.operators.walkforward import (
@@ -117,6 +117,25 @@ def backtest(
     return run_backtest(signalled, keys, spec.cost_bps, spec.slippage_bps)
 
 
+def backtest_signals(
+    bars: DataFrame, signals: DataFrame, spec: StudySpec, keys: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """A backtest of signals from elsewhere ``(keys, date, signal)``, on the dates that bars and signals share."""
+    both = align(realised_returns(bars, keys=keys), signals.select(*keys, "date", "signal"), keys)
+    return run_backtest(both, keys, spec.cost_bps, spec.slippage_bps)
+
+
+def backtest_report(result: DataFrame, spec: StudySpec) -> tuple[DataFrame, DataFrame]:
+    """Sections and texts of the report on a finished backtest alone, per symbol."""
+    comparison = compare_to_benchmark(result, rf=spec.risk_free_rate)
+    sections = report_sections({
+        "verdict": verdict(comparison),
+        "comparison": comparison,
+        "trade_statistics": trade_statistics(trade_log(result)),
+    })
+    return sections, report_text(sections)
+
+
 def model_metrics(
     predictions: DataFrame, spec: StudySpec, keys: Sequence[str] = ("symbol", "split")
 ) -> DataFrame:
@@ -279,4 +298,5 @@ def run_full_study(
         tables |= {f"{k}_sweep": v for k, v in swept.items()}
         robust = stress.robustness_summary(swept)
         tables |= {"robustness": robust, "stress_verdict": stress.stress_verdict(robust)}
-    return {**out, **tables, "sections": report_sections(tables)}
+    sections = report_sections(tables)
+    return {**out, **tables, "sections": sections, "reports": report_text(sections)}

@@ -25,6 +25,10 @@ HEADLINE = (
     "model_ridge_per_symbol",
     "walk_forward",
     "log_scorecard",
+    "model_forest_range",
+    "incremental_store",
+    "incremental_features",
+    "regime_vol_causal",
 )
 
 
