@@ -13,7 +13,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.durable import ensure_checkpoint_dir
+from barloom.functions.asof import asof_join
+from barloom.functions.durable import bucketed, ensure_checkpoint_dir
 from barloom.functions.windows import by_date
 from barloom.operators import (
     backtest as bt,
@@ -2536,6 +2537,37 @@ def backtest_aligned(spark, sf):
     return tidy(out.select("symbol", "date", "asset_return", "signal", "position", "cost", "strategy_return", "equity"))
 
 
+@query(
+    "asof_bars",
+    with_sql(
+        sql.trade_bars(),
+        f"""SELECT l.symbol, l.date, r.date AS found_date, {rounded('r.close', 'found_close')}, n.date AS next_date
+FROM bars l ASOF LEFT JOIN (SELECT * FROM bars WHERE week(date) % 3 = 0) r ON l.symbol = r.symbol AND l.date >= r.date
+ASOF LEFT JOIN (SELECT * FROM bars WHERE week(date) % 5 = 0) n ON l.symbol = n.symbol AND l.date < n.date""",
+    ),
+)
+def asof_bars(spark, sf):
+    """Each bar with the last one of every third week up to it and the first one of every fifth week after it."""
+    bars = inputs.trade_bars(spark, sf).select("symbol", "date", "close")
+    week = F.weekofyear("date")
+    past = asof_join(bars, bars.where(week % 3 == 0), ["symbol"], "date", name="found")
+    both = asof_join(past, bars.where(week % 5 == 0), ["symbol"], "date", forward=True, exact=False, name="next")
+    return tidy(
+        both.select("symbol", "date", F.col("found.date").alias("found_date"), F.col("found.close").alias("found_close"),
+                    F.col("next.date").alias("next_date"))
+    )
+
+
+@query(
+    "feature_matrix_bucketed",
+    with_sql(_FEAT, f"SELECT symbol, date, {num(*FEATURES, digits=8)} FROM feat"),
+)
+def feature_matrix_bucketed(spark, sf):
+    """The feature matrix of a panel stored by symbol: its windows need no exchange."""
+    stored = bucketed(inputs.trade_bars(spark, sf), "symbol", 16)
+    return tidy(feature_matrix(build_features(stored)), 8)
+
+
 @query("report_sections")
 def report_sections(spark, sf):
     """The report of the ridge study per symbol, walk-forward included."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.config import StudySpec
+from barloom.functions.asof import asof_join
 from barloom.functions.columns import mean_when
 from barloom.functions.durable import checkpointed
 from barloom.functions.windows import by_date, first_n
@@ -150,32 +151,17 @@ def predict_latest(
 def next_bars(log: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """For each logged bar date: the next bar that exists, and its return.
 
-    Log dates need not be bar dates.  Both sides are laid on one time line per
-    symbol, newest first, and each log row takes the last bar passed; the frame
-    only grows, so the cost is linear.  There is no range join, and holidays
-    need no calendar.
+    Log dates need not be bar dates.  There is no range join, holidays need no
+    calendar, and a symbol with most bars is dealt over stretches of time.
     """
-    moves = realised_returns(bars, keys=keys).select(
-        *keys, "date", F.struct("date", "asset_return").alias("bar")
-    )
-    marks = log.select(*keys, F.col("bar_date").alias("date")).distinct()
-    line = moves.withColumn("__mark", F.lit(0)).unionByName(
-        marks.withColumn("__mark", F.lit(1)), allowMissingColumns=True
-    )
-    passed = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("date"), F.desc("__mark"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        line.withColumn("__next", F.last("bar", ignorenulls=True).over(passed))
-        .where((F.col("__mark") == 1) & F.col("__next").isNotNull())
-        .select(
-            *keys,
-            F.col("date").alias("bar_date"),
-            F.col("__next.date").alias("target_date"),
-            F.col("__next.asset_return").alias("realised_return"),
-        )
+    moves = realised_returns(bars, keys=keys).select(*keys, F.col("date").alias("bar_date"), "asset_return")
+    marks = log.select(*keys, "bar_date").distinct()
+    found = asof_join(marks, moves, keys, "bar_date", forward=True, exact=False, name="__next")
+    return found.where(F.col("__next").isNotNull()).select(
+        *keys,
+        "bar_date",
+        F.col("__next.bar_date").alias("target_date"),
+        F.col("__next.asset_return").alias("realised_return"),
     )
 
 
