@@ -20,7 +20,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressor,
+    LinearRegression,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,6 +199,49 @@ def logistic_slopes(model: PipelineModel, df: DataFrame) -> DataFrame:
     return sums.select("n", F.explode(F.array(*slopes)).alias("g")).select("g.feature", "n", "g.slope")
 
 
+def tree_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """The trees of a fitted forest or boosted regressor as a table, one row per node.
+
+    ``tree, node, feature, threshold, low, high, value, weight``: rows whose
+    scaled input ``feature`` is at most ``threshold`` go on to ``low``, others
+    to ``high``; a leaf has no feature and gives ``value``, which counts with
+    the tree's ``weight``.
+    """
+    fitted = model.stages[-1]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    weights = list(fitted.treeWeights)
+    if isinstance(fitted, RandomForestRegressionModel):
+        weights = [w / sum(weights) for w in weights]
+    leaf = F.col("n.leftChild") < 0
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), F.col("nodeData").alias("n")).select(
+        "tree",
+        F.col("n.id").alias("node"),
+        F.when(~leaf, F.col("n.split.featureIndex")).alias("feature"),
+        F.when(~leaf, F.get("n.split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.col("n.leftChild").alias("low"),
+        F.col("n.rightChild").alias("high"),
+        F.col("n.prediction").alias("value"),
+        F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("tree")).alias("weight"),
+    )
+
+
+def score_nodes(nodes: DataFrame, model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, prediction)`` of rows walked down a node table, one join per level of the trees.
+
+    ``keys`` tell rows apart.  Only the inputs' scaling is taken from the model.
+    """
+    depth, trees = model.stages[-1].getMaxDepth(), model.stages[-1].getNumTrees
+    scaled = PipelineModel(model.stages[:-1]).transform(df)
+    at = scaled.select(*keys, vector_to_array("scaled").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    at = at.withColumn("node", F.lit(0))
+    for _ in range(depth):
+        step = F.when(F.col("feature").isNull(), F.col("node")).when(F.get("z", F.col("feature")) <= F.col("threshold"), F.col("low"))
+        at = at.join(nodes, ["tree", "node"]).select(*keys, "z", "tree", step.otherwise(F.col("high")).alias("node"))
+    ends = at.join(nodes, ["tree", "node"])
+    return ends.groupBy(*keys).agg(F.sum(F.col("value") * F.col("weight")).alias("prediction"))
+
+
 def model_path(root: str, scope: str, name: str, fingerprint: str) -> str:
     return f"{root.rstrip('/')}/{scope}_{name}_{fingerprint}"
 

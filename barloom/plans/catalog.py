@@ -1918,6 +1918,29 @@ def model_logistic_gradient(spark, sf):
     return tidy(models.logistic_slopes(models.fit_model(data, FEATURES, "linear", task="classification"), data), 4)
 
 
+@query(
+    "model_tree_nodes",
+    with_sql(
+        _DATA,
+        """SELECT model, symbol, split, count(*) AS n, count(*) AS agreeing
+FROM data, (SELECT unnest(['boosted', 'random_forest']) AS model) GROUP BY ALL""",
+    ),
+)
+def model_tree_nodes(spark, sf):
+    """Fitted trees as a node table, walked by joins: for how many rows it gives what the model gives."""
+    data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
+    out = None
+    for name, size in (("random_forest", "trees"), ("boosted", "rounds")):
+        model = models.fit_model(data.where("split = 'train'"), FEATURES, name, {size: 20})
+        walked = models.score_nodes(models.tree_nodes(model, spark), model, data, ["symbol", "date"])
+        both = models.predict(model, data).withColumnRenamed("prediction", "told").join(walked, ["symbol", "date"])
+        part = both.groupBy(F.lit(name).alias("model"), "symbol", "split").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("told") - F.col("prediction")) < 1e-12).alias("agreeing")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("best_models")
 def best_models(spark, sf):
     data = study.prepare(inputs.trade_bars(spark, sf), SPEC)
